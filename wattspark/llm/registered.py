@@ -5,17 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wattspark.llm.common import documents
+from wattspark.llm.common import documents, fold_bucket
 from wattspark.llm.exact_dedup import exact_dedup
+from wattspark.llm.language_id import fit_dictionaries, identify
 from wattspark.llm.mixing import mix
 from wattspark.llm.token_counts import token_counts
+from wattspark.llm.url_filter import Rule, judge_urls
+
+URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_bucket(F.col("doc_id"), 5) == 0
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    dictionaries, counts = fit_dictionaries(docs.filter(~held_out))
+    found = identify(docs.select("doc_id", "text"), dictionaries, counts)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -26,7 +39,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
-_QUERIES = {f.__name__: f for f in (op2_exact_dedup, op6_mixing, op9_token_counts)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
+
+
+_QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_language_id, op6_mixing, op9_token_counts, op10_url_filter)}
 
 _STRIPPED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
@@ -36,6 +53,15 @@ _ORACLES = {
              r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
                           count(*) OVER (PARTITION BY text_sha256) AS group_size FROM t)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM r""",
+    # rules by their own text here: a host that ends with the rule's, a path that starts with the rule's
+    "op10_url_filter": r"""
+        WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+             r AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+                                  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+                                  WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+                                  WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM p)
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r""",
 }
 
 
