@@ -11,6 +11,7 @@ from wattspark.llm.common import documents, fold_bucket
 from wattspark.llm.exact_dedup import exact_dedup
 from wattspark.llm.language_id import fit_dictionaries, identify
 from wattspark.llm.mixing import mix
+from wattspark.llm.pii import digest, find_pii, train
 from wattspark.llm.token_counts import token_counts
 from wattspark.llm.url_filter import Rule, judge_urls
 
@@ -33,6 +34,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return digest(find_pii(docs, train(docs)))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,7 +49,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
-_QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_language_id, op6_mixing, op9_token_counts, op10_url_filter)}
+_QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_language_id, op6_mixing, op7_pii, op9_token_counts, op10_url_filter)}
 
 _STRIPPED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
