@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wattspark.llm.common import documents, fold_bucket
+from wattspark.llm.embedding_dedup import embedding_dedup
 from wattspark.llm.exact_dedup import exact_dedup
 from wattspark.llm.language_id import fit_dictionaries, identify
 from wattspark.llm.mixing import mix
@@ -22,6 +23,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold_bucket(F.col("doc_id"), 5) == 0
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
@@ -49,7 +54,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
-_QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_language_id, op6_mixing, op7_pii, op9_token_counts, op10_url_filter)}
+_QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_embedding_dedup, op4_language_id, op6_mixing, op7_pii, op9_token_counts, op10_url_filter)}
 
 _STRIPPED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
