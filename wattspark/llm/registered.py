@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wattspark.llm.common import documents, fold_bucket
 from wattspark.llm.embedding_dedup import embedding_dedup
 from wattspark.llm.exact_dedup import exact_dedup
+from wattspark.llm.jaccard_join import jaccard_classes
 from wattspark.llm.language_id import fit_dictionaries, identify
 from wattspark.llm.mixing import mix
 from wattspark.llm.pii import digest, find_pii, train
@@ -44,6 +45,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(docs, train(docs)))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(documents(spark, sf_dir))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,7 +59,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
-_QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_embedding_dedup, op4_language_id, op6_mixing, op7_pii, op9_token_counts, op10_url_filter)}
+_QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_embedding_dedup, op4_language_id, op6_mixing, op7_pii, op8_ngram_jaccard, op9_token_counts, op10_url_filter)}
 
 _STRIPPED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
