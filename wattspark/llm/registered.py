@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wattspark.llm.common import documents, fold_bucket
 from wattspark.llm.embedding_dedup import embedding_dedup
 from wattspark.llm.exact_dedup import exact_dedup
+from wattspark.llm.hmm_lm import score
 from wattspark.llm.jaccard_join import jaccard_classes
 from wattspark.llm.language_id import fit_dictionaries, identify
 from wattspark.llm.mixing import mix
@@ -36,6 +37,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = fold_bucket(F.col("doc_id"), 7) == 2
+    found = score(documents(spark, sf_dir), ~held_out)
+    return found.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -59,7 +66,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
-_QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_embedding_dedup, op4_language_id, op6_mixing, op7_pii, op8_ngram_jaccard, op9_token_counts, op10_url_filter)}
+_QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_embedding_dedup, op4_language_id, op5_hmm_lm, op6_mixing, op7_pii, op8_ngram_jaccard, op9_token_counts, op10_url_filter)}
 
 _STRIPPED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
