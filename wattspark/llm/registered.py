@@ -15,12 +15,24 @@ from wattspark.llm.jaccard_join import jaccard_classes
 from wattspark.llm.language_id import fit_dictionaries, identify
 from wattspark.llm.mixing import mix
 from wattspark.llm.pii import digest, find_pii, train
+from wattspark.llm.sentence_pieces import decoded, encode
 from wattspark.llm.token_counts import token_counts
 from wattspark.llm.url_filter import Rule, judge_urls
 
 URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
 
 
+def op1_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's piece ids, how many, and whether they decode to its text."""
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # the text travels with its id through the encoder, so that the check needs no join
+    found = encode(docs.select(F.struct("doc_id", "text").alias("row"), "text"), model, id_col="row")
+    return found.select("row.doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (decoded(F.col("ids"), model) == F.col("row.text")).alias("round_trip"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -66,7 +78,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
 
-_QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_embedding_dedup, op4_language_id, op5_hmm_lm, op6_mixing, op7_pii, op8_ngram_jaccard, op9_token_counts, op10_url_filter)}
+_QUERIES = {f.__name__: f for f in (op1_sentence_pieces, op2_exact_dedup, op3_embedding_dedup, op4_language_id, op5_hmm_lm, op6_mixing, op7_pii, op8_ngram_jaccard, op9_token_counts, op10_url_filter)}
 
 _STRIPPED = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
@@ -89,7 +101,9 @@ _ORACLES = {
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    import corpus_pipeline
+
+    return {**_QUERIES, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
