@@ -1,0 +1,5 @@
+"""Registered queries: the library's operators over the derived tables, each with its oracle."""
+
+from wattspark.plans import aggregations, filters, functions, joins, series, sets, writes
+
+__all__ = ["aggregations", "filters", "functions", "joins", "series", "sets", "writes"]
