@@ -7,8 +7,10 @@ bound for all points of a box; pairs that survive are verified on the full sets.
 
 An R-tree over all documents would not prune: unrelated points of a space of so many dimensions share
 their boxes. So documents are first clustered by what any linked pair must have in common, a shingle
-among the first n - ceil(t n) + 1 of both under one order of all shingles (rare ones first). Clusters
-are the connected components of that relation, and every linked pair is within one.
+among the first n - ceil(t n) + 1 of both under one order of all shingles (rare ones first). Where few
+documents share such a shingle their pairs are held against the bound at once, on the points alone;
+where many do they stay together. Clusters are the connected components of what remains, and every
+linked pair is within one.
 
 Equal sets are one node throughout, so copies cost nothing; clusters too large for one task are
 compared chunk by chunk, all chunks with all.
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +51,18 @@ def need(n_a, n_b, link: tuple[int, int] = LINK):
     return -(-p * (n_a + n_b) // (p + q))
 
 
+def groups_for(size: int) -> int:
+    """Groups for a set of `size` shingles, a power of two."""
+    return 1 << max(3, int(size // GROUP_LOAD).bit_length())
+
+
+def bound(a: np.ndarray, b: np.ndarray) -> int:
+    """The most that two sets can have in common, by their points; the longer point is folded to the shorter."""
+    if len(a) < len(b):
+        a, b = b, a
+    return int(np.minimum(a.reshape(-1, len(b)).sum(axis=0), b).sum())
+
+
 def count_vector(shingles: np.ndarray, groups: int) -> np.ndarray:
     return np.bincount((shingles >> np.uint64(20)).astype(np.int64) & (groups - 1), minlength=groups)
 
@@ -89,7 +104,7 @@ class RTree:
 def spanning_links(sets: list[np.ndarray], side: np.ndarray | None = None, link: tuple[int, int] = LINK) -> list[tuple[int, int]]:
     """Verified links that join what all links of `sets` join (a forest); with `side`, only links between the sides count."""
     sizes = np.array([len(s) for s in sets])
-    groups = 1 << max(3, int(sizes.max() // GROUP_LOAD).bit_length())
+    groups = groups_for(int(sizes.max()))
     points = np.stack([count_vector(s, groups) for s in sets])
     root = np.arange(len(sets))
 
@@ -115,27 +130,30 @@ def spanning_links(sets: list[np.ndarray], side: np.ndarray | None = None, link:
 
 
 def _outlines(rows: DataFrame) -> DataFrame:
-    """(id, n, sig) for each document, and the counters of the shingle order as rows (chunk, counts)."""
+    """(id, n, sig, point) for each document, a byte a group, and the counters of the shingle order as rows (chunk, counts)."""
+    names = ["id", "n", "sig", "point", "chunk", "counts"]
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(ORDER_SLOTS, np.uint32)
         seen = False
         for batch in batches:
-            n, sig = [], []
+            n, sig, point = [], [], []
             for s in sets_of(batch.column(1)):
                 n.append(len(s))
+                at = count_vector(s, groups_for(len(s)))
+                point.append(at.astype(np.uint8).tobytes() if at.max() < 256 else None)  # no point: never pruned
                 sig.append(signature(s) if len(s) else None)
                 slots = (s & np.uint64(ORDER_SLOTS - 1)).astype(np.int64)
                 counts[slots] += 1  # a document counts once for a slot
             seen = True
             m = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["id", "n", "sig", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(point, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if seen:
             parts = ORDER_SLOTS // _CHUNK
             small = np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(parts, _CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.array(range(parts), pa.int32()), pa.array([c.tobytes() for c in small], pa.binary())], ["id", "n", "sig", "chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.binary()), pa.array(range(parts), pa.int32()), pa.array([c.tobytes() for c in small], pa.binary())], names)
 
-    return rows.mapInArrow(outline, "id long, n long, sig long, chunk int, counts binary")
+    return rows.mapInArrow(outline, "id long, n long, sig long, point binary, chunk int, counts binary")
 
 
 def _order_table(counted: DataFrame) -> np.ndarray:
@@ -170,35 +188,60 @@ def prefix(shingles: np.ndarray, classes: np.ndarray, link: tuple[int, int] = LI
 _GATHER = 1 << 21
 
 
-def _starred(tokens: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Each token with the least of its signatures, and edges from that one to the token's others."""
-    order = np.lexsort((sigs, tokens))
-    tokens, sigs = tokens[order], sigs[order]
-    first = np.concatenate(([True], tokens[1:] != tokens[:-1])) if len(tokens) else np.zeros(0, bool)
-    head = sigs[first][np.cumsum(first) - 1] if len(tokens) else sigs
-    edge = head != sigs
-    pairs = np.unique(np.stack([head[edge], sigs[edge]], axis=1), axis=0) if edge.any() else np.zeros((0, 2), np.int64)
-    return tokens[first], sigs[first], pairs[:, 0], pairs[:, 1]
+#: Documents with one shingle in their prefixes up to which each pair is looked at on its own.
+FEW = 8
 
 
-def _combined(tokens: list[np.ndarray], sigs: list[np.ndarray]) -> pa.RecordBatch:
-    t, s, a, b = _starred(np.concatenate(tokens), np.concatenate(sigs))
-    m = len(a)
-    # edges are spread over the tasks by their own number, as tokens are
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([t, a])), pa.array(np.concatenate([s, a])), pa.concat_arrays([pa.nulls(len(t), pa.int64()), pa.array(b, pa.int64())])], ["token", "sig", "other"])
+def _meeting(tokens: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, link: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What to pass on of rows (token, signature, size): an index of rows, pairs (a < b) of signatures that share
+    a token with few others, and pairs that tie those of a token with many to the least of them.
+
+    Sizes too far apart make no pair. The rows of a token with many are passed on as one, the least.
+    """
+    order = np.lexsort((sigs, tokens))
+    tokens, sigs, sizes = tokens[order], sigs[order], sizes[order]
+    first = np.ones(len(tokens), bool)
+    first[1:] = tokens[1:] != tokens[:-1]
+    group = np.cumsum(first) - 1
+    few = np.bincount(group)[group] <= FEW
+    pairs = []
+    for step in range(1, FEW):
+        i = np.nonzero(few[:-step] & (group[:-step] == group[step:]))[0]
+        low, high = np.minimum(sizes[i], sizes[i + step]), np.maximum(sizes[i], sizes[i + step])
+        i = i[(low * link[1] >= high * link[0]) & (sigs[i] != sigs[i + step])]
+        pairs.append(np.stack([sigs[i], sigs[i + step]], axis=1))
+    near = np.unique(np.concatenate(pairs), axis=0)
+    many = np.nonzero(~few & ~first)[0]
+    ties = np.unique(np.stack([sigs[first][group[many]], sigs[many]], axis=1), axis=0)
+    return order[few | first], near, ties[ties[:, 0] != ties[:, 1]]
+
+
+def _pairs_batch(near: np.ndarray, ties: np.ndarray, names: list[str], wide: bool) -> pa.RecordBatch:
+    both = np.concatenate([near, ties])
+    kind = pa.array(np.arange(len(both)) >= len(near))
+    a, b = pa.array(both[:, 0]), pa.array(both[:, 1])
+    return pa.RecordBatch.from_arrays([a, a, pa.nulls(len(both), pa.int32()), b, kind] if wide else [a, b, kind], names)
 
 
 def _shared_prefixes(rows: DataFrame, order, link: tuple[int, int]) -> DataFrame:
-    """Edges (a, b) between signatures: those with the same shingle in their prefixes are connected by them.
+    """(a, b, tied): pairs of signatures with a shingle in both prefixes; where many share one, `tied` pairs that connect them.
 
-    A task combines its own rows first, so a shingle sends one row from each task at most, however
-    many documents hold it.
+    A task combines its own rows first, so a shingle sends few rows from each task, however many
+    documents hold it.
     """
-    schema = "token long, sig long, other long"
+    names = ["token", "sig", "n", "other", "tied"]
+
+    def combined(tokens: list, sigs: list, sizes: list) -> Iterator[pa.RecordBatch]:
+        t, s, n = np.concatenate(tokens), np.concatenate(sigs), np.concatenate(sizes)
+        kept, _, ties = _meeting(t, s, n, link)
+        m = len(kept)
+        yield pa.RecordBatch.from_arrays([pa.array(t[kept]), pa.array(s[kept]), pa.array(n[kept].astype(np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_())], names)
+        if len(ties):
+            yield _pairs_batch(ties[:0], ties, names, True)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = order.value, set()
-        tokens, sigs, held = [], [], 0
+        tokens, sigs, sizes, held = [], [], [], 0
         for batch in batches:
             for s in sets_of(batch.column(0)):
                 if not len(s) or (sig := signature(s)) in seen:  # copies in one task once
@@ -207,30 +250,46 @@ def _shared_prefixes(rows: DataFrame, order, link: tuple[int, int]) -> DataFrame
                     seen.add(sig)
                 tokens.append(prefix(s, classes, link).view(np.int64))
                 sigs.append(np.full(len(tokens[-1]), sig, np.int64))
+                sizes.append(np.full(len(tokens[-1]), len(s), np.int64))
                 held += len(tokens[-1])
                 if held > _GATHER:
-                    yield _combined(tokens, sigs)
-                    tokens, sigs, held = [], [], 0
+                    yield from combined(tokens, sigs, sizes)
+                    tokens, sigs, sizes, held = [], [], [], 0
         if held:
-            yield _combined(tokens, sigs)
+            yield from combined(tokens, sigs, sizes)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sigs = [], []
+        tokens, sigs, sizes = [], [], []
         for batch in batches:
-            other = batch.column(2)
-            known = other.is_valid().to_numpy(zero_copy_only=False)
-            sig = batch.column(1).to_numpy()
-            if known.any():
-                yield pa.RecordBatch.from_arrays([pa.array(sig[known]), other.drop_null()], ["a", "b"])
-            tokens.append(batch.column(0).to_numpy()[~known])
-            sigs.append(sig[~known])
-        if tokens:
-            _, _, a, b = _starred(np.concatenate(tokens), np.concatenate(sigs))
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    sent = rows.select("text").mapInArrow(emit, schema)
-    return sent.repartition("token").mapInArrow(meet, "a long, b long").distinct()
+            known = batch.column(3).is_valid()
+            done = batch.filter(known)
+            if done.num_rows:
+                yield pa.RecordBatch.from_arrays([done.column(1), done.column(3), done.column(4)], ["a", "b", "tied"])
+            rest = batch.filter(pyarrow.compute.invert(known))
+            tokens.append(rest.column(0).to_numpy())
+            sigs.append(rest.column(1).to_numpy())
+            sizes.append(rest.column(2).to_numpy(zero_copy_only=False).astype(np.int64))
+        if sum(map(len, tokens)):
+            _, near, ties = _meeting(np.concatenate(tokens), np.concatenate(sigs), np.concatenate(sizes), link)
+            yield _pairs_batch(near, ties, ["a", "b", "tied"], False)
+
+    sent = rows.select("text").mapInArrow(emit, "token long, sig long, n int, other long, tied boolean")
+    return sent.repartition("token").mapInArrow(meet, "a long, b long, tied boolean").distinct()
+
+
+def _possible(pairs: DataFrame, reps: DataFrame, link: tuple[int, int]) -> DataFrame:
+    """Of the pairs that are not tied, those that the bound of their points allows; and the tied ones."""
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n_a, n_b, p_a, p_b = (batch.column(i).to_pylist() for i in range(6))
+            keep = [x is None or y is None or bound(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) >= need(n, m, link) for x, y, n, m in zip(p_a, p_b, n_a, n_b)]
+            some = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], ["a", "b"])
+
+    point = lambda x: reps.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"p_{x}"))
+    loose = pairs.filter(~F.col("tied")).join(point("a"), "a").join(point("b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
+    return loose.mapInArrow(prune, "a long, b long").union(pairs.filter("tied").select("a", "b"))
 
 
 def _wanted_map(ids: DataFrame) -> np.ndarray:
@@ -275,8 +334,9 @@ def _joined(link: tuple[int, int]):
 def linked_signatures(rows: DataFrame, outlines: DataFrame, order: np.ndarray, link: tuple[int, int] = LINK) -> tuple[DataFrame, DataFrame]:
     """(sets by signature: sig, least id) and the links between signatures."""
     spark = rows.sparkSession
-    reps = written(outlines.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("id")), "jaccard-reps")
-    edges = _shared_prefixes(rows, spark.sparkContext.broadcast(order), link)
+    reps = written(outlines.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point")), "jaccard-reps")
+    pairs = written(_shared_prefixes(rows, spark.sparkContext.broadcast(order), link), "jaccard-pairs")
+    edges = _possible(pairs, reps, link)
     clusters = written(components(edges, "jaccard-clusters").join(reps.filter("id IS NOT NULL"), F.col("node") == F.col("sig")).select("id", "sig", F.col("component").alias("cluster")), "jaccard-members")
     sets = _sets(rows, clusters.select("id")).dropDuplicates(["id"]).join(clusters, "id").select("sig", "cluster", "shingles")
     large = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > MOST_IN_TASK)
@@ -302,7 +362,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     outlines = written(_outlines(rows), "jaccard-outlines")
-    each = outlines.filter("chunk IS NULL").select("id", "n", "sig")
+    each = outlines.filter("chunk IS NULL").select("id", "n", "sig", "point")
     reps, found = linked_signatures(rows.filter("id IS NOT NULL"), each.filter("id IS NOT NULL"), _order_table(outlines), link)
     groups = components(found, "jaccard-groups")
     joint = reps.join(groups, reps["sig"] == groups["node"], "left").select("sig", "id", F.coalesce("component", "sig").alias("component"))
