@@ -60,3 +60,4 @@ def test_fold_equals_the_library(pieces, text):
     p, m = pieces
     found = [i for w in p.words(text) for i in (p.agenda(w) if w.startswith("▁▁") else p.fold(w))]
     assert found == m.encode(text)
+    assert [i for w in p.words(text) for i in p.merged(w)] == [i for w in p.words(text) for i in p.agenda(w)] == found

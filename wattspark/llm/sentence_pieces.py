@@ -7,12 +7,10 @@ edges of each word's lattice; the edges are grouped by word and folded, best sco
 between, which then goes. That fold gives what the merges give, because every piece of a trained model
 scores below the pieces it is merged from; a fold that adds scores along paths would not.
 
-Words that begin with a run of spaces are merged pair by pair instead, as pieces of spaces alone don't
-score so.
+Words that begin with a run of spaces are merged pair by pair, as pieces of spaces alone don't score so.
 
-The texts are then put together from the encoded words, a list of fixed size. Rarer words run the same
-lattice and fold in the task that meets them: to bring them back by a join would move the corpus
-once more. Decoding is an array lookup and a join of bytes.
+The texts are then put together from the encoded words, a list of fixed size. Rarer words are merged in
+the task that meets them: to bring them back by a join would move the corpus once more. Decoding is an array lookup and a join of bytes.
 """
 
 from __future__ import annotations
@@ -31,10 +29,10 @@ from wattspark.llm.common import written
 MARK = "▁"
 #: Words encoded by the relational lattice and sent to all tasks: a list of fixed size.
 HEAD_WORDS = 1 << 18
-#: Longer words don't fit a lattice of 62 cuts in one number; they are folded in the task that meets them.
+#: Longer words don't fit a lattice of 62 cuts in one number; they are merged in the task that meets them.
 LONGEST_WORD = 61
 #: Rare words that a task keeps.
-MOST_KEPT = 1 << 18
+MOST_KEPT = 1 << 19
 _FLUSH = 1 << 20
 
 
@@ -87,6 +85,30 @@ class Pieces:
             propose(i, end)
         return self._named(word, after)
 
+    def merged(self, word: str) -> list[int]:
+        """The ids of a short word, by the same merges as `agenda` without its bookkeeping."""
+        if len(word) > 40:
+            return self.agenda(word)
+        get, parts = self.table.get, list(word)
+        ranks = [get(a + b) for a, b in zip(parts, parts[1:])]
+        while True:
+            best = at = None
+            for i, hit in enumerate(ranks):
+                if hit and (best is None or hit[0] < best):
+                    best, at = hit[0], i
+            if best is None:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1])
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at])
+        out = []
+        for part in parts:
+            out.extend([hit[1]] if (hit := get(part)) else [self.bytes[b] for b in part.encode()])
+        return out
+
     def _named(self, word: str, after: list[int]) -> list[int]:
         """Ids of the stretches from each cut to the next; characters without a piece as bytes."""
         out, i = [], 0
@@ -97,7 +119,7 @@ class Pieces:
         return out
 
     def fold(self, word: str) -> list[int]:
-        """The ids of one word, by the same lattice and fold as `encoded_words`."""
+        """The ids of one word by the lattice and fold of `encoded_words`, to test that fold without Spark."""
         n, table = len(word), self.table
         edges = sorted((hit[0], i, k, hit[1]) for i in range(n) for k in range(i + 2, min(n, i + self.longest) + 1) if (hit := table.get(word[i:k])))
         after, cut = list(range(1, n + 1)), [True] * (n + 1)  # the next cut after each cut
@@ -121,10 +143,8 @@ class Pieces:
             if "  " in line or line[-1:] == " ":
                 out.extend(re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", line.replace(" ", MARK)))
                 continue
-            head, *rest = line.split(" ")
-            if head:
-                out.append(head)
-            out.extend([MARK + w for w in rest])
+            words = line.replace(" ", " " + MARK).split(" ")
+            out.extend(words if words[0] else words[1:])
         return out
 
 
@@ -182,7 +202,7 @@ def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class _Encoder(dict):
-    """Words with their ids as bytes; a word that is not there is folded here and kept for a while."""
+    """Words with their ids as bytes; a word that is not there is merged here and kept for a while."""
 
     def __init__(self, pieces: Pieces, head: dict[str, bytes]):
         super().__init__(head)
@@ -193,10 +213,21 @@ class _Encoder(dict):
         if len(self) >= self.most:
             self.clear()
             self.update(self.head)
-        found = self[word] = np.array((self.pieces.agenda if word.startswith(MARK + MARK) else self.pieces.fold)(word), np.int32).tobytes()
+        found = self[word] = np.array(self.pieces.merged(word), np.int32).tobytes()
         return found
 
 
+_encoders: dict[str, _Encoder] = {}
+
+
+def _encoder(model: str, pieces: Pieces, head: dict[str, bytes]) -> _Encoder:
+    """The encoder of this worker, which runs many tasks; any words it has kept are right for the model."""
+    if model not in _encoders:
+        _encoders.clear()
+        _encoders[model] = _Encoder(pieces, head)
+    return _encoders[model]
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
     """One row per row of `docs`: id and ids, the piece ids of the whole text, as the library gives them.
 
@@ -211,8 +242,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     shared = spark.sparkContext.broadcast((pieces, {r["word"]: np.array(r["ids"], np.int32).tobytes() for r in found}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        by = _Encoder(*known)
+        by = _encoder(model, *shared.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)

@@ -92,6 +92,13 @@ def json_emitter(path: str) -> Callable[[list[str]], list[int]]:
 _compiled: dict[str, Transducer] = {}
 
 
+def _transducer(tokenizer: str) -> Transducer:
+    """The transducer of this worker, which runs many tasks."""
+    if tokenizer not in _compiled:
+        _compiled[tokenizer] = Transducer(json_emitter(tokenizer))
+    return _compiled[tokenizer]
+
+
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_bytes, n_tokens, over_limit.
 
@@ -102,9 +109,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     schema = "id long, n_bytes long, n_tokens long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _compiled:
-            _compiled[tokenizer] = Transducer(json_emitter(tokenizer))
-        arcs = _compiled[tokenizer]
+        arcs = _transducer(tokenizer)
         for batch in batches:
             texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             for i in range(0, len(texts), 64):  # new words are compiled many at a time
