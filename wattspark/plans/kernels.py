@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from wattspark import analog
 from wattspark.analog import oracle
 from wattspark.functions.numeric import FTP_DURATIONS
-from wattspark.operators import aggregates, classify, grouped, joins, windows
+from wattspark.operators import aggregates, classify, grouped, intensity, joins, kernels, windows
 from wattspark.registry import register
 
 
@@ -122,3 +123,28 @@ def joi31(spark, d):
     sessions = w.filter("id % 2 = 0").select(F.col("uid").alias("plan_id"), week.alias("week"), F.col("id").alias("session_id"), F.col("total_timer_time").alias("seconds"), load)
     done = w.filter("id % 2 = 1").select(F.col("uid").alias("plan_id"), week.alias("week"), F.col("id").alias("workout_id"), F.col("total_timer_time").alias("seconds"), load)
     return grouped.greedy_plan(sessions, done).withColumn("score", F.round("score", 4))
+
+
+@register("krn11_intensity_features")
+def krn11(spark, d):
+    f = intensity.feature_table(analog.samples(spark, d))
+    return f.select("workout_id", "seconds", "positive_seconds", "average_power", "normalized_power", F.round("variability", 4).alias("variability"), F.round("best_30", 4).alias("best_30"))
+
+
+@register("krn14_intensity_classes")
+def krn14(spark, d):
+    f = intensity.feature_table(analog.samples(spark, d).withColumn("power", F.col("power") * 4))
+    curve = F.create_map(*[F.lit(x) for d_, w in ((30, 420.0), (120, 320.0), (480, 260.0), (1200, 230.0)) for x in (d_, w)])
+    model = f.withColumn("ftp", F.lit(200.0)).withColumn("model_confidence", F.lit(80.0)).withColumn("curve", curve)
+    return intensity.classified(model).select("workout_id", "profile", "tags", "structure", "dose", "confidence")
+
+
+@register("krn20_manual_power", oracle("activities", "SELECT id, floor((120 * (duration_seconds - 720) + 3 * (120 * 280 + 120 * 100)) / duration_seconds + 0.5) AS average FROM activities WHERE duration_seconds >= 720"))
+def krn20(spark, d):
+    a = analog.activities(spark, d).filter("duration_seconds >= 720")
+
+    @F.pandas_udf("double")
+    def mean(seconds: pd.Series) -> pd.Series:
+        return seconds.map(lambda n: float(kernels.half_up(kernels.manual_power([(3, 120, 120, 280, 100)], 120, int(n)).mean())))
+
+    return a.select("id", mean("duration_seconds").alias("average"))
