@@ -33,7 +33,7 @@ from wattspark.llm.shingles import mixed, sets_of, signature
 
 #: A link: share of the common shingles in all shingles of the two, as a fraction.
 LINK = (75, 100)
-#: Counters of the shingle order: a table of fixed size, whatever the corpus (2 bytes a counter in each task, 1 in the broadcast).
+#: Counters of the shingle order: a table of fixed size, whatever the corpus (1 byte a counter from each task and in the broadcast).
 ORDER_SLOTS = 1 << 21
 _CHUNK = 1 << 16
 #: Shingles a group of the count vectors holds on average.
@@ -150,7 +150,7 @@ def _outlines(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(point, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if seen:
             parts = ORDER_SLOTS // _CHUNK
-            small = np.minimum(counts, 0xFFFF).astype(np.uint16).reshape(parts, _CHUNK)
+            small = np.minimum(counts, 0xFF).astype(np.uint8).reshape(parts, _CHUNK)  # rare and common stay apart
             yield pa.RecordBatch.from_arrays([pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.binary()), pa.array(range(parts), pa.int32()), pa.array([c.tobytes() for c in small], pa.binary())], names)
 
     return rows.mapInArrow(outline, "id long, n long, sig long, point binary, chunk int, counts binary")
@@ -163,7 +163,7 @@ def _order_table(counted: DataFrame) -> np.ndarray:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = np.frombuffer(counts.as_buffer(), np.uint16)
+                got = np.frombuffer(counts.as_buffer(), np.uint8)
                 totals[chunk] = totals[chunk] + got if chunk in totals else got.astype(np.int64)
         if totals:
             classes = [np.round(4 * np.log2(1 + t)).clip(0, 255).astype(np.uint8).tobytes() for t in totals.values()]
@@ -234,6 +234,7 @@ def _shared_prefixes(rows: DataFrame, order, link: tuple[int, int]) -> DataFrame
     def combined(tokens: list, sigs: list, sizes: list) -> Iterator[pa.RecordBatch]:
         t, s, n = np.concatenate(tokens), np.concatenate(sigs), np.concatenate(sizes)
         kept, _, ties = _meeting(t, s, n, link)
+        kept.sort()  # a document's rows stay together, which packs them better
         m = len(kept)
         yield pa.RecordBatch.from_arrays([pa.array(t[kept]), pa.array(s[kept]), pa.array(n[kept].astype(np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_())], names)
         if len(ties):
