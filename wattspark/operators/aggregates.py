@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,17 +103,20 @@ def daily_load(rows: DataFrame) -> DataFrame:
 
 def fitness(daily: DataFrame, chronic: float = 42, acute: float = 7) -> DataFrame:
     """Chronic and acute load by day and their balance. Each day's loads are rounded before the next takes
-    them up, so this is a fold over a user's days, not a window; it stays in the JVM."""
-    days = daily.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("day", "tss"))).alias("days"))
-    zero = F.struct(F.lit(0.0).alias("ctl"), F.lit(0.0).alias("atl"), F.array().cast("array<struct<day:date,tss:double,ctl:double,atl:double,tsb:double>>").alias("out"))
-
-    def step(a: Column, d: Column) -> Column:
-        c = half_up(a["ctl"] + (d["tss"] - a["ctl"]) / chronic)
-        t = half_up(a["atl"] + (d["tss"] - a["atl"]) / acute)
-        row = F.struct(d["day"].alias("day"), d["tss"].alias("tss"), c.alias("ctl"), t.alias("atl"), half_up(c - t).alias("tsb"))
-        return F.struct(c.alias("ctl"), t.alias("atl"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    return days.select("uid", F.inline(F.aggregate("days", zero, step, lambda a: a["out"])))
+    them up, so this is a walk over a user's days, not a window; a group is one user's days, which time bounds."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("day")
+        c = a = 0.0
+        rows = []
+        for x in pdf["tss"].tolist():
+            c = math.floor(c + (x - c) / chronic + 0.5)
+            a = math.floor(a + (x - a) / acute + 0.5)
+            rows.append((c, a, math.floor(c - a + 0.5)))
+        return pdf.assign(**{n: [float(r[i]) for r in rows] for i, n in enumerate(("ctl", "atl", "tsb"))})
+
+    kind = daily.schema["uid"].dataType.simpleString()
+    return daily.select("uid", "day", "tss").groupBy("uid").applyInPandas(run, f"uid {kind}, day date, tss double, ctl double, atl double, tsb double")
 
 
 def fitness_by_period(daily_fitness: DataFrame, period: str) -> DataFrame:
