@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattspark.llm.common import written
+from wattspark.llm.common import most_frequent, written
 from wattspark.llm.shingles import word_hashes
 
 STATES = 6
@@ -194,7 +194,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     counts = written(word_counts(rows.filter("training").select("text")), "lm-counts")
     ends = rows.filter("training").count()
     words = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    head = counts.orderBy(F.desc("n"), "word").limit(HEAD_WORDS).collect()
+    head = sorted(most_frequent(counts, HEAD_WORDS).collect(), key=lambda r: (-r["n"], r["word"]))
     n_all, v_all = words["n"] + ends, words["v"] + (ends > 0)
     base_room = n_all + v_all + 1
     by_hash = sorted((r["word"], r["n"], i) for i, r in enumerate(head))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattspark.llm.common import written
+from wattspark.llm.common import most_frequent, written
 
 MARK = "▁"
 #: Words encoded by the relational lattice and sent to all tasks: a list of fixed size.
@@ -236,8 +236,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """
     spark, pieces = docs.sparkSession, Pieces(model)
     counted = word_counts(docs.select(F.col(text_col).alias("text")), pieces)
-    head = written(counted.filter((F.length("word") <= LONGEST_WORD) & ~F.col("word").startswith(MARK + MARK)).orderBy(F.desc("n"), "word").limit(head_words).select("word"), "pieces-head")
-    spread = head.repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "word")
+    counted = written(counted.filter((F.length("word") <= LONGEST_WORD) & ~F.col("word").startswith(MARK + MARK)), "pieces-words")
+    head = most_frequent(counted, head_words)
+    spread = head.select("word").repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "word")
     found = encoded_words(spread, pieces).collect()  # at most head_words rows
     shared = spark.sparkContext.broadcast((pieces, {r["word"]: np.array(r["ids"], np.int32).tobytes() for r in found}))
 
