@@ -77,6 +77,25 @@ def test_jaccard_classes_against_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want)) and kept.columns == docs.columns
 
 
+def test_jaccard_links_of_documents_that_others_stand_for(spark):
+    left, right, rest = [], [], []
+    for f in range(3):  # ten texts of a task share a passage rare enough for their prefixes; each links only with its turned copy in another task
+        passage = " ".join(f"f{f}t{i}" for i in range(12))
+        for k in range(10):
+            body = " ".join(f"f{f}k{k}p{i}" for i in range(37))
+            left.append(f"{passage} {body}")
+            right.append(f"{body} {passage}")
+            rest += [body + "".join(f" f{f}k{k}u{u}x{i}" for i in range(20)) for u in range(40)]
+    data = left + right + rest
+    n = len(left)
+    sets = [shingles(t) for t in data[: 2 * n + 40]]
+    edges = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    assert sorted(edges) == [(n + i, i) for i in range(n)]
+    rows = spark.sparkContext.parallelize([list(enumerate(left)), list(enumerate(right, n)), list(enumerate(rest, 2 * n))], 3).flatMap(lambda part: part)
+    got = {x.doc_id: x.component_id for x in jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(data))] == [*range(n), *range(n), *range(2 * n, len(data))]
+
+
 def test_jaccard_of_little(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
     got = [(r.doc_id, r.component_id) for r in jaccard_classes(docs).collect()]

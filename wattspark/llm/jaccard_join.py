@@ -192,18 +192,20 @@ _GATHER = 1 << 21
 FEW = 8
 
 
-def _meeting(tokens: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, link: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What to pass on of rows (token, signature, size): an index of rows, pairs (a < b) of signatures that share
-    a token with few others, and pairs that tie those of a token with many to the least of them.
+def _meeting(tokens: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, stands: np.ndarray, link: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What to pass on of rows (token, signature, size, stands for many): an index of rows, which of these stand for
+    many, pairs (a < b) of signatures that share a token with few others, and pairs that tie those of a token with
+    many to the least of them.
 
-    Sizes too far apart make no pair. The rows of a token with many are passed on as one, the least.
+    Sizes too far apart make no pair. The rows of a token with many are passed on as one, the least. It stands for
+    others that may link where it doesn't, so a token with such a row has many, however few rows arrive.
     """
     order = np.lexsort((sigs, tokens))
     tokens, sigs, sizes = tokens[order], sigs[order], sizes[order]
     first = np.ones(len(tokens), bool)
     first[1:] = tokens[1:] != tokens[:-1]
     group = np.cumsum(first) - 1
-    few = np.bincount(group)[group] <= FEW
+    few = ((np.bincount(group) <= FEW) & (np.bincount(group, stands[order]) == 0))[group]
     pairs = []
     for step in range(1, FEW):
         i = np.nonzero(few[:-step] & (group[:-step] == group[step:]))[0]
@@ -213,7 +215,8 @@ def _meeting(tokens: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, link: tupl
     near = np.unique(np.concatenate(pairs), axis=0)
     many = np.nonzero(~few & ~first)[0]
     ties = np.unique(np.stack([sigs[first][group[many]], sigs[many]], axis=1), axis=0)
-    return order[few | first], near, ties[ties[:, 0] != ties[:, 1]]
+    kept = few | first
+    return order[kept], ~few[kept], near, ties[ties[:, 0] != ties[:, 1]]
 
 
 def _pairs_batch(near: np.ndarray, ties: np.ndarray, names: list[str], wide: bool) -> pa.RecordBatch:
@@ -227,16 +230,16 @@ def _shared_prefixes(rows: DataFrame, order, link: tuple[int, int]) -> DataFrame
     """(a, b, tied): pairs of signatures with a shingle in both prefixes; where many share one, `tied` pairs that connect them.
 
     A task combines its own rows first, so a shingle sends few rows from each task, however many
-    documents hold it.
+    documents hold it. In the rows of shingles, `tied` marks those that stand for many.
     """
     names = ["token", "sig", "n", "other", "tied"]
 
     def combined(tokens: list, sigs: list, sizes: list) -> Iterator[pa.RecordBatch]:
         t, s, n = np.concatenate(tokens), np.concatenate(sigs), np.concatenate(sizes)
-        kept, _, ties = _meeting(t, s, n, link)
-        kept.sort()  # a document's rows stay together, which packs them better
-        m = len(kept)
-        yield pa.RecordBatch.from_arrays([pa.array(t[kept]), pa.array(s[kept]), pa.array(n[kept].astype(np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_())], names)
+        kept, stands, _, ties = _meeting(t, s, n, np.zeros(len(t), bool), link)
+        together = np.argsort(kept)  # a document's rows stay together, which packs them better
+        kept, stands = kept[together], stands[together]
+        yield pa.RecordBatch.from_arrays([pa.array(t[kept]), pa.array(s[kept]), pa.array(n[kept].astype(np.int32)), pa.nulls(len(kept), pa.int64()), pa.array(stands)], names)
         if len(ties):
             yield _pairs_batch(ties[:0], ties, names, True)
 
@@ -260,7 +263,7 @@ def _shared_prefixes(rows: DataFrame, order, link: tuple[int, int]) -> DataFrame
             yield from combined(tokens, sigs, sizes)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sigs, sizes = [], [], []
+        tokens, sigs, sizes, stands = [], [], [], []
         for batch in batches:
             known = batch.column(3).is_valid()
             done = batch.filter(known)
@@ -270,8 +273,9 @@ def _shared_prefixes(rows: DataFrame, order, link: tuple[int, int]) -> DataFrame
             tokens.append(rest.column(0).to_numpy())
             sigs.append(rest.column(1).to_numpy())
             sizes.append(rest.column(2).to_numpy(zero_copy_only=False).astype(np.int64))
+            stands.append(rest.column(4).to_numpy(zero_copy_only=False).astype(bool))
         if sum(map(len, tokens)):
-            _, near, ties = _meeting(np.concatenate(tokens), np.concatenate(sigs), np.concatenate(sizes), link)
+            _, _, near, ties = _meeting(np.concatenate(tokens), np.concatenate(sigs), np.concatenate(sizes), np.concatenate(stands), link)
             yield _pairs_batch(near, ties, ["a", "b", "tied"], False)
 
     sent = rows.select("text").mapInArrow(emit, "token long, sig long, n int, other long, tied boolean")
