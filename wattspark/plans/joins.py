@@ -40,6 +40,11 @@ def joi07(spark, d):
     return joins.shared_group_pairs(analog.shares(spark, d), members, "workout_id", "user_id")
 
 
+@register("joi07_common_group_whole", oracle("shares group_members", "SELECT DISTINCT workout_id, user_id FROM shares JOIN group_members USING (group_id)"))
+def joi07_whole(spark, d):
+    return joins.shared_group_pairs(analog.shares(spark, d), analog.group_members(spark, d), "workout_id", "user_id")
+
+
 @register("joi08_not_matched", oracle("workouts segments", "SELECT id FROM workouts w WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.wid = w.id AND s.duration = 900)"))
 def joi08(spark, d):
     matched = analog.segments(spark, d).filter("duration = 900").select(F.col("wid").alias("id"))
@@ -145,6 +150,12 @@ def joi26(spark, d):
     return w.join(analog.shares(spark, d).withColumnRenamed("workout_id", "id"), "id", "left").join(analog.activities(spark, d).select("id", "estimated_tss"), "id", "left").select("id", "group_id", "estimated_tss")
 
 
+@register("joi26_left_chain_whole", oracle("workouts shares activities", "SELECT w.id, s.group_id, a.estimated_tss FROM workouts w LEFT JOIN shares s ON s.workout_id = w.id LEFT JOIN activities a ON a.id = w.id"))
+def joi26_whole(spark, d):
+    w = analog.workouts(spark, d).select("id")
+    return w.join(analog.shares(spark, d).withColumnRenamed("workout_id", "id"), "id", "left").join(analog.activities(spark, d).select("id", "estimated_tss"), "id", "left").select("id", "group_id", "estimated_tss")
+
+
 @register("joi28_update_from", oracle("segments gps_segments", "SELECT s.wid, s.sid, s.duration, CASE WHEN g.distance > 0 AND s.duration > 0 THEN floor(g.distance * 3.6 / s.duration * 10 + 0.5) / 10 END AS avg_speed FROM segments s LEFT JOIN gps_segments g ON g.id = s.sid"))
 def joi28(spark, d):
     from wattspark.functions.numeric import segment_speed

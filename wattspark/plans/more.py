@@ -46,6 +46,13 @@ def agg23(spark, d):
     return w.select("id", F.when(F.col("uid") == 7, F.to_json(F.coalesce("g", F.array().cast("array<bigint>")))).alias("groups"))
 
 
+@register("agg23_owner_groups_whole", oracle("workouts shares", "SELECT id, CASE WHEN uid = 7 THEN coalesce('[' || (SELECT string_agg(group_id::VARCHAR, ',' ORDER BY group_id) FROM shares s WHERE s.workout_id = w.id) || ']', '[]') END AS groups FROM workouts w"))
+def agg23_whole(spark, d):
+    g = analog.shares(spark, d).groupBy(F.col("workout_id").alias("id")).agg(F.array_sort(F.collect_set("group_id")).alias("g"))
+    w = analog.workouts(spark, d).join(g, "id", "left")
+    return w.select("id", F.when(F.col("uid") == 7, F.to_json(F.coalesce("g", F.array().cast("array<bigint>")))).alias("groups"))
+
+
 @register("agg25_users_with_counts", oracle("users workouts", "SELECT u.id, count(w.id) AS workouts FROM users u LEFT JOIN workouts w ON w.uid = u.id GROUP BY u.id"))
 def agg25(spark, d):
     n = analog.workouts(spark, d).groupBy(F.col("uid").alias("id")).agg(F.count(F.lit(1)).alias("n"))
