@@ -90,3 +90,24 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert mix(rows(spark, [])).count() == 0
     out = mixed_documents(docs.filter("doc_id < 1000"))
     assert out.columns == docs.columns and out.count() == sum(x.copies for x in mix(docs.filter("doc_id < 1000")).collect())
+
+
+def test_rows_that_share_an_id(spark):
+    docs = spark.createDataFrame([(1, "a b", "s"), (1, "a  b", "s"), (1, "a  b", "s"), (1, "c", "s"), (0, "c ", "s"), (None, "d", "s"), (None, "d", "s")], "doc_id long, text string, kept_id string").repartition(2)
+    got = sorted(map(str, ((r.doc_id, r.text) for r in keep_unique(docs).collect())))
+    assert got == sorted(map(str, [(1, "a  b"), (0, "c "), (None, "d")]))
+    assert keep_unique(docs).columns == docs.columns and keep_unique(docs.limit(0)).count() == 0
+
+
+def test_mixed_documents_of_repeated_rows_and_clashing_names(spark):
+    data = [(1, "a b c", "s", 1)] * 3 + [(1, "d e f", "s", 1), (2, "x y", "t", 2), (None, "x y z w", "t", 2), (3, None, "t", 3), (4, "q " * 40, None, 3)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string, mix_id int")
+    taken = mix(docs).groupBy("doc_id", "source", "size").agg({"copies": "sum"}).collect()
+    out = mixed_documents(docs)
+    rows = out.collect()
+    assert out.columns == docs.columns and len(rows) == sum(t[3] for t in taken)
+    for doc_id, source, size, copies in taken:
+        assert sum((r.doc_id, r.source, len((r.text or "").split())) == (doc_id, source, size) for r in rows) == copies
+    same = [sum(r.text == x for r in rows) for x in ("a b c", "d e f")]
+    assert abs(same[0] - 3 * same[1]) <= 3
+    assert mixed_documents(docs.limit(0)).count() == 0

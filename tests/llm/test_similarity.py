@@ -4,7 +4,7 @@ import numpy as np
 
 from wattspark.llm.components import components
 from wattspark.llm.embedding_dedup import embedding_dedup
-from wattspark.llm.jaccard_join import RTree, bound, count_vector, groups_for, jaccard_classes, need, one_of_each, spanning_links
+from wattspark.llm.jaccard_join import RTree, _meeting, bound, count_vector, groups_for, jaccard_classes, need, one_of_each, spanning_links
 
 
 def roots(n, edges):
@@ -67,8 +67,9 @@ def test_jaccard_classes_against_brute_force(spark, monkeypatch):
     edges = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
     want = roots(len(data), edges)
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(data)], "doc_id long, text string, sig int, n int").repartition(3)
-    for most in (4096, 8):  # whole clusters, and clusters in chunks
+    for most, few in ((512, 8), (8, 8), (3, 2), (3, 1)):  # whole clusters; clusters held against one of theirs; most documents tied
         monkeypatch.setattr(jaccard_join, "MOST_IN_TASK", most)
+        monkeypatch.setattr(jaccard_join, "FEW", few)
         got = {r.doc_id: r for r in jaccard_classes(docs).collect()}
         assert len(got) == len(data)
         for i, s in enumerate(sets):
@@ -117,9 +118,14 @@ def test_points_bound_overlaps_and_the_tree_misses_nothing():
         assert j in tree.partners(points[i], sizes[i])
         a, b = (count_vector(sets[x], groups_for(sizes[x])) for x in (i, j))
         assert bound(a, b) >= len(np.intersect1d(sets[i], sets[j]))
-    assert roots(300, spanning_links(sets)) and len({*map(tuple, map(sorted, spanning_links(sets)))} - {*map(lambda p: tuple(sorted(p)), both)}) == 0
+    found = spanning_links(points, sizes, sets)
+    assert len({*map(tuple, map(sorted, found))} - {*map(lambda p: tuple(sorted(p)), both)}) == 0
     join = lambda e: sorted(map(sorted, {c: [x for x in range(300) if roots(300, e)[x] == c] for c in set(roots(300, e))}.values()))
-    assert join(spanning_links(sets)) == join(both)
+    assert join(found) == join(both)
+    allowed = spanning_links(points, sizes)
+    assert len(join(allowed)) <= len(join(both)) and all(any({i, j} <= {*group} for group in join(allowed)) for i, j in both)
+    rest = r.random(300) < 0.2  # only links between the sides
+    assert join(spanning_links(points, sizes, sets, rest)) == join([(i, j) for i, j in both if rest[i] != rest[j]])
 
 
 def test_embedding_links_against_brute_force(spark, monkeypatch):
@@ -144,3 +150,24 @@ def test_embedding_links_against_brute_force(spark, monkeypatch):
         assert all((got[1000 + i].n_links, got[1000 + i].component_id) == (0, 1000 + i) for i in range(len(odd)))
         assert got[None].n_links == 0 and got[None].component_id is None and len(got) == len(rows)
     assert embedding_dedup(table.limit(0)).count() == 0
+
+
+def test_rows_of_a_shingle_are_parted_by_size():
+    rows = lambda n: np.arange(n, dtype=np.int64)
+    sizes = np.array([100, 120, 60, 58, 20, 20, 21, 22, 23, 24, 25, 26, 27, 28], np.int64)
+    tokens = np.full(len(sizes), 7, np.int64)
+    kept, low, high, stands, near, ties = _meeting(tokens, rows(len(sizes)), sizes, sizes, np.zeros(len(sizes), bool), (75, 100))
+    assert near.tolist() == [[0, 1], [2, 3]]
+    assert len(ties) == 9 and {*ties.ravel()} == {*range(4, 14)}
+    assert [(int(a), int(b), bool(c)) for a, b, c in zip(low, high, stands)].count((20, 28, True)) == 1 and len(kept) == 5
+    # a row that stands for sizes from 20 to 28 ties one of 35, and one of 15, but not one of 60
+    more = _meeting(np.full(4, 7, np.int64), np.array([50, 51, 52, 53]), np.array([20, 35, 15, 60]), np.array([28, 35, 15, 60]), np.array([True, False, False, False]), (75, 100))
+    assert sorted(map(tuple, more[5].tolist())) == [(50, 52), (51, 52)] and not len(more[4])
+
+
+def test_one_of_each_of_rows_that_share_an_id(spark):
+    a, b = "u v w x y z a b c d", "k l m n o p q r s t"
+    docs = spark.createDataFrame([(1, a, "x"), (1, a, "x"), (1, b, "x"), (0, b, "x"), (None, a, "x"), (4, "", "x"), (5, None, "x")], "doc_id long, text string, own_mark string").repartition(2)
+    got = sorted(((r.doc_id, r.text) for r in one_of_each(docs).collect()), key=str)
+    assert got == sorted([(1, a), (0, b), (None, a), (4, ""), (5, None)], key=str)
+    assert one_of_each(docs).columns == docs.columns and one_of_each(docs.limit(0)).count() == 0

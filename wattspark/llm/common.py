@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -22,6 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith(("local[", "local:")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="wattspark-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -38,13 +41,52 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return again
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table of `written` that nothing reads any more."""
-    path = getattr(df, "_table_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of `written` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_table_path", None)
+        if path:
+            jvm = df.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def settle(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark deletes a finished plan's shuffle files only after that."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like `names` that no column of `docs` has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def chosen_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, mark: Column) -> DataFrame:
+    """The rows of `docs` whose id and `mark` are in `chosen`, a written table (id, mark, single), with all their columns.
+
+    Where `single` is true, one of the rows that share id and mark: that of the longest text. Null ids match
+    null ids. Clashing column names don't matter.
+    """
+    own, k_id, k_mark, k_single = fresh(docs, "own_mark", "kept_id", "kept_mark", "kept_single")
+    keyed = docs.withColumn(own, mark)
+    keys = chosen.select(F.col("id").alias(k_id), F.col("mark").alias(k_mark), F.col("single").alias(k_single))
+    hit = keyed.join(keys, F.col(f"`{id_col}`").eqNullSafe(F.col(k_id)) & (F.col(own) == F.col(k_mark)))
+    out = hit.filter(~F.col(k_single)).select(*columns_of(docs))
+    if chosen.filter("single").isEmpty():
+        return out
+    row = F.max_by(F.struct(*columns_of(docs)), F.struct(F.length(f"`{text_col}`"), F.col(f"`{text_col}`")))
+    return out.unionByName(hit.filter(k_single).groupBy(k_id, k_mark).agg(row.alias("row")).select("row.*"))
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattspark.llm.common import SPACES, written
+from wattspark.llm.common import SPACES, chosen_rows, written
 
 SALTS = 32
 _SHIFT = "18446744073709551616"  # 2**64
@@ -78,6 +78,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that exact_dedup keeps, with all their columns; of repeated rows with one id, each stays."""
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of `docs` for each normalised text, the one that exact_dedup keeps, with all its columns.
+
+    Rows that share an id are told apart by their texts; of repeated rows one stays. All null and blank texts
+    are one text. An empty table gives an empty one, and columns may have any names.
+    """
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").groupBy(F.col(id_col).alias("id"), F.col("text_sha256").alias("mark"))
+    chosen = written(kept.agg((F.count(F.lit(1)) > 1).alias("single")), "exact-kept")
+    return chosen_rows(docs, chosen, id_col, text_col, F.sha2(normalised(F.col(f"`{text_col}`")), 256))

@@ -1,19 +1,22 @@
 """N-gram Jaccard join over count vectors in R-trees.
 
 A document is the set of its distinct word shingles. Shingles are hashed into groups; the counts by group
-are a point, and the sum over groups of the smaller count bounds the overlap of two sets from above. The
-points of each cluster of documents are packed into an R-tree, whose boxes' upper corners give the same
-bound for all points of a box; pairs that survive are verified on the full sets.
-
-An R-tree over all documents would not prune: unrelated points of a space of so many dimensions share
-their boxes. So documents are first clustered by what any linked pair must have in common, a shingle
-among the first n - ceil(t n) + 1 of both under one order of all shingles (rare ones first). Where few
-documents share such a shingle their pairs are held against the bound at once, on the points alone;
-where many do they stay together. Clusters are the connected components of what remains, and every
-linked pair is within one.
-
-Equal sets are one node throughout, so copies cost nothing; clusters too large for one task are
-compared chunk by chunk, all chunks with all.
+are a point, and the sum over groups of the smaller count bounds the overlap of two sets from above. Points
+are packed into R-trees, whose boxes' upper corners give the same bound for all points of a box; pairs that
+survive are verified on the full sets.
+
+A single R-tree over all documents would not prune: unrelated points of a space of so many dimensions share
+their boxes. So the trees are built over documents with something rare in common, which any linked pair
+has: a shingle among the first n - ceil(t n) + 1 of both under one order of all shingles (rare ones first).
+
+1. Documents with such a shingle, in the order of their sizes, are parted where no link can reach across.
+   Where few are left together, their pairs are held against the bound one by one; where many, they are tied.
+2. Tied documents are clustered, and the points of each cluster and band of sizes go into an R-tree, which
+   leaves the pairs that the bound allows.
+3. The components of the pairs of both kinds are the clusters whose sets are read again and verified.
+
+Equal sets are one node throughout, so copies cost nothing. A tree or cluster too large for one task is
+first held against one of its members; only documents that don't link with that one meet all others.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattspark.llm.common import written
+from wattspark.llm.common import chosen_rows, forget, settle, written
 from wattspark.llm.components import components
 from wattspark.llm.shingles import mixed, sets_of, signature
 
@@ -39,10 +42,10 @@ _CHUNK = 1 << 16
 #: Shingles a group of the count vectors holds on average.
 GROUP_LOAD = 8
 LEAF = 32
-#: Documents of a cluster that one task compares.
-MOST_IN_TASK = 4096
-#: Bits of the map of wanted ids that spares reading sets nobody needs; of fixed size.
-WANTED_BITS = 1 << 23
+#: Documents of a cluster that one task compares with each other.
+MOST_IN_TASK = 512
+#: Bits of the map of wanted ids that spares reading sets nobody needs: eight for each id, at most 8 MB of them.
+MOST_WANTED_BITS = 1 << 26
 
 
 def need(n_a, n_b, link: tuple[int, int] = LINK):
@@ -101,12 +104,18 @@ class RTree:
         return some[np.minimum(self.points[some], point).sum(axis=1) >= need(size, self.sizes[some], link)]
 
 
-def spanning_links(sets: list[np.ndarray], side: np.ndarray | None = None, link: tuple[int, int] = LINK) -> list[tuple[int, int]]:
-    """Verified links that join what all links of `sets` join (a forest); with `side`, only links between the sides count."""
-    sizes = np.array([len(s) for s in sets])
-    groups = groups_for(int(sizes.max()))
-    points = np.stack([count_vector(s, groups) for s in sets])
-    root = np.arange(len(sets))
+def folded(points: list[np.ndarray]) -> np.ndarray:
+    """Points of several lengths, all folded to the shortest."""
+    least = min(map(len, points))
+    return np.stack([p.reshape(-1, least).sum(axis=0, dtype=np.int64) for p in points])
+
+
+def spanning_links(points: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray] | None = None, rest: np.ndarray | None = None, home: np.ndarray | None = None, link: tuple[int, int] = LINK) -> list[tuple[int, int]]:
+    """Links that join what all links join (a forest): verified on `sets`, without them all that the bound allows.
+
+    With `rest`, only links of a document of it with one outside it count; with `home`, only those of a home.
+    """
+    root = np.arange(len(sizes))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -115,23 +124,22 @@ def spanning_links(sets: list[np.ndarray], side: np.ndarray | None = None, link:
         return x
 
     tree, out = RTree(points, sizes), []
-    for a in np.argsort(-sizes, kind="stable"):
-        near = tree.partners(points[a], sizes[a], link)
-        for b in near[near != a]:
-            if side is not None and side[a] == side[b]:
+    for a in np.argsort(-sizes, kind="stable") if rest is None else np.nonzero(rest)[0]:
+        for b in tree.partners(points[a], sizes[a], link):
+            if a == b or (rest is not None and rest[b]) or (home is not None and not (home[a] or home[b])):
                 continue
             x, y = find(a), find(b)
             if x == y:
                 continue
-            if len(np.intersect1d(sets[a], sets[b], assume_unique=True)) >= need(sizes[a], sizes[b], link):
+            if sets is None or len(np.intersect1d(sets[a], sets[b], assume_unique=True)) >= need(sizes[a], sizes[b], link):
                 root[x] = y
                 out.append((int(a), int(b)))
     return out
 
 
 def _outlines(rows: DataFrame) -> DataFrame:
-    """(id, n, sig, point) for each document, a byte a group, and the counters of the shingle order as rows (chunk, counts)."""
-    names = ["id", "n", "sig", "point", "chunk", "counts"]
+    """(id, mark, n, sig, point) for each document, a byte a group, and the counters of the shingle order as rows (chunk, counts)."""
+    names = ["id", "mark", "n", "sig", "point", "chunk", "counts"]
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(ORDER_SLOTS, np.uint32)
@@ -141,19 +149,19 @@ def _outlines(rows: DataFrame) -> DataFrame:
             for s in sets_of(batch.column(1)):
                 n.append(len(s))
                 at = count_vector(s, groups_for(len(s)))
-                point.append(at.astype(np.uint8).tobytes() if at.max() < 256 else None)  # no point: never pruned
+                point.append((at if at.max() < 256 else np.full(len(at), 255)).astype(np.uint8).tobytes())  # all full: pruned by size alone
                 sig.append(signature(s) if len(s) else None)
                 slots = (s & np.uint64(ORDER_SLOTS - 1)).astype(np.int64)
                 counts[slots] += 1  # a document counts once for a slot
             seen = True
             m = len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(point, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(point, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if seen:
             parts = ORDER_SLOTS // _CHUNK
             small = np.minimum(counts, 0xFF).astype(np.uint8).reshape(parts, _CHUNK)  # rare and common stay apart
-            yield pa.RecordBatch.from_arrays([pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.int64()), pa.nulls(parts, pa.binary()), pa.array(range(parts), pa.int32()), pa.array([c.tobytes() for c in small], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(parts, pa.int64())] * 4, pa.nulls(parts, pa.binary()), pa.array(range(parts), pa.int32()), pa.array([c.tobytes() for c in small], pa.binary())], names)
 
-    return rows.mapInArrow(outline, "id long, n long, sig long, point binary, chunk int, counts binary")
+    return rows.select("id", "text", "mark").mapInArrow(outline, "id long, mark long, n long, sig long, point binary, chunk int, counts binary")
 
 
 def _order_table(counted: DataFrame) -> np.ndarray:
@@ -188,58 +196,67 @@ def prefix(shingles: np.ndarray, classes: np.ndarray, link: tuple[int, int] = LI
 _GATHER = 1 << 21
 
 
-#: Documents with one shingle in their prefixes up to which each pair is looked at on its own.
+#: Documents with one shingle in their prefixes, and sizes that can link, up to which each pair is looked at on its own.
 FEW = 8
 
 
-def _meeting(tokens: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, stands: np.ndarray, link: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What to pass on of rows (token, signature, size, stands for many): an index of rows, which of these stand for
-    many, pairs (a < b) of signatures that share a token with few others, and pairs that tie those of a token with
-    many to the least of them.
+def _meeting(tokens: np.ndarray, sigs: np.ndarray, low: np.ndarray, high: np.ndarray, stands: np.ndarray, link: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What to pass on of rows (token, signature, sizes from low to high, stands for many): an index of rows, their
+    sizes from and to, which of these stand for many, pairs (a < b) of signatures that share a token with
+    few others, and pairs that tie those of a token with many to one of them.
 
-    Sizes too far apart make no pair. The rows of a token with many are passed on as one, the least. It stands for
-    others that may link where it doesn't, so a token with such a row has many, however few rows arrive.
+    The rows of a token are parted by size where none on one side can link with any on the other; sizes too far
+    apart make no pair. The rows of a part with many are passed on as one. It stands for
+    others that may link where it doesn't, so a part with such a row has many, however few rows arrive.
     """
-    order = np.lexsort((sigs, tokens))
-    tokens, sigs, sizes = tokens[order], sigs[order], sizes[order]
+    order = np.lexsort((sigs, stands, low, tokens))
+    tokens, sigs, low, high, stands = tokens[order], sigs[order], low[order], high[order], stands[order]
+    once = np.ones(len(tokens), bool)  # a set that several tasks have met
+    once[1:] = (tokens[1:] != tokens[:-1]) | (sigs[1:] != sigs[:-1]) | stands[1:] | stands[:-1]
+    order, tokens, sigs, low, high, stands = order[once], tokens[once], sigs[once], low[once], high[once], stands[once]
     first = np.ones(len(tokens), bool)
     first[1:] = tokens[1:] != tokens[:-1]
+    reach = np.maximum.accumulate(high + ((np.cumsum(first) - 1) << 32)) & 0xFFFFFFFF  # the largest size so far of the token
+    first[1:] |= reach[:-1] * link[1] < low[1:] * link[0]
     group = np.cumsum(first) - 1
-    few = ((np.bincount(group) <= FEW) & (np.bincount(group, stands[order]) == 0))[group]
-    pairs = []
+    few = ((np.bincount(group) <= FEW) & (np.bincount(group, stands) == 0))[group]
+    pairs = [np.zeros((0, 2), np.int64)]
     for step in range(1, FEW):
         i = np.nonzero(few[:-step] & (group[:-step] == group[step:]))[0]
-        low, high = np.minimum(sizes[i], sizes[i + step]), np.maximum(sizes[i], sizes[i + step])
-        i = i[(low * link[1] >= high * link[0]) & (sigs[i] != sigs[i + step])]
-        pairs.append(np.stack([sigs[i], sigs[i + step]], axis=1))
+        i = i[(high[i] * link[1] >= low[i + step] * link[0]) & (sigs[i] != sigs[i + step])]
+        pairs.append(np.stack([np.minimum(sigs[i], sigs[i + step]), np.maximum(sigs[i], sigs[i + step])], axis=1))
     near = np.unique(np.concatenate(pairs), axis=0)
     many = np.nonzero(~few & ~first)[0]
-    ties = np.unique(np.stack([sigs[first][group[many]], sigs[many]], axis=1), axis=0)
+    ties = np.stack([sigs[first][group[many]], sigs[many]], axis=1)
+    ties = np.unique(np.sort(ties, axis=1), axis=0)
     kept = few | first
-    return order[kept], ~few[kept], near, ties[ties[:, 0] != ties[:, 1]]
+    upto = np.maximum.reduceat(high, np.nonzero(first)[0])[group] if len(high) else high
+    return order[kept], low[kept], np.where(few, high, upto)[kept], ~few[kept], near, ties[ties[:, 0] != ties[:, 1]]
 
 
 def _pairs_batch(near: np.ndarray, ties: np.ndarray, names: list[str], wide: bool) -> pa.RecordBatch:
     both = np.concatenate([near, ties])
     kind = pa.array(np.arange(len(both)) >= len(near))
     a, b = pa.array(both[:, 0]), pa.array(both[:, 1])
-    return pa.RecordBatch.from_arrays([a, a, pa.nulls(len(both), pa.int32()), b, kind] if wide else [a, b, kind], names)
+    return pa.RecordBatch.from_arrays([a, a, pa.nulls(len(both), pa.int64()), b, kind] if wide else [a, b, kind], names)
 
 
 def _shared_prefixes(rows: DataFrame, order, link: tuple[int, int]) -> DataFrame:
     """(a, b, tied): pairs of signatures with a shingle in both prefixes; where many share one, `tied` pairs that connect them.
 
     A task combines its own rows first, so a shingle sends few rows from each task, however many
-    documents hold it. In the rows of shingles, `tied` marks those that stand for many.
+    documents hold it. In the rows of shingles, `tied` marks those that stand for many, and `sizes` packs
+    the least and the largest size that a row stands for. They are sorted by shingle, so a task that
+    meets them holds some at a time.
     """
-    names = ["token", "sig", "n", "other", "tied"]
+    names = ["token", "sig", "sizes", "other", "tied"]
 
     def combined(tokens: list, sigs: list, sizes: list) -> Iterator[pa.RecordBatch]:
         t, s, n = np.concatenate(tokens), np.concatenate(sigs), np.concatenate(sizes)
-        kept, stands, _, ties = _meeting(t, s, n, np.zeros(len(t), bool), link)
+        kept, low, high, stands, _, ties = _meeting(t, s, n, n, np.zeros(len(t), bool), link)
         together = np.argsort(kept)  # a document's rows stay together, which packs them better
-        kept, stands = kept[together], stands[together]
-        yield pa.RecordBatch.from_arrays([pa.array(t[kept]), pa.array(s[kept]), pa.array(n[kept].astype(np.int32)), pa.nulls(len(kept), pa.int64()), pa.array(stands)], names)
+        kept, low, high, stands = kept[together], low[together], high[together], stands[together]
+        yield pa.RecordBatch.from_arrays([pa.array(t[kept]), pa.array(s[kept]), pa.array(low | high << 32), pa.nulls(len(kept), pa.int64()), pa.array(stands)], names)
         if len(ties):
             yield _pairs_batch(ties[:0], ties, names, True)
 
@@ -263,53 +280,148 @@ def _shared_prefixes(rows: DataFrame, order, link: tuple[int, int]) -> DataFrame
             yield from combined(tokens, sigs, sizes)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, sigs, sizes, stands = [], [], [], []
+        held: list[list[np.ndarray]] = [[], [], [], []]
+
+        def met(columns: list[np.ndarray]) -> pa.RecordBatch:
+            t, s, sizes, stands = columns
+            *_, near, ties = _meeting(t, s, sizes & 0xFFFFFFFF, sizes >> 32, stands, link)
+            return _pairs_batch(near, ties, ["a", "b", "tied"], False)
+
         for batch in batches:
             known = batch.column(3).is_valid()
             done = batch.filter(known)
             if done.num_rows:
                 yield pa.RecordBatch.from_arrays([done.column(1), done.column(3), done.column(4)], ["a", "b", "tied"])
             rest = batch.filter(pyarrow.compute.invert(known))
-            tokens.append(rest.column(0).to_numpy())
-            sigs.append(rest.column(1).to_numpy())
-            sizes.append(rest.column(2).to_numpy(zero_copy_only=False).astype(np.int64))
-            stands.append(rest.column(4).to_numpy(zero_copy_only=False).astype(bool))
-        if sum(map(len, tokens)):
-            _, _, near, ties = _meeting(np.concatenate(tokens), np.concatenate(sigs), np.concatenate(sizes), np.concatenate(stands), link)
-            yield _pairs_batch(near, ties, ["a", "b", "tied"], False)
+            for k, kind in enumerate((np.int64, np.int64, np.int64, bool)):
+                held[k].append(rest.column((0, 1, 2, 4)[k]).to_numpy(zero_copy_only=False).astype(kind))
+            if sum(map(len, held[0])) > _GATHER // 4:
+                columns = [np.concatenate(x) for x in held]
+                cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last shingle may go on
+                held = [[x[cut:]] for x in columns]
+                if cut:
+                    yield met([x[:cut] for x in columns])
+        if sum(map(len, held[0])):
+            yield met([np.concatenate(x) for x in held])
 
-    sent = rows.select("text").mapInArrow(emit, "token long, sig long, n int, other long, tied boolean")
-    return sent.repartition("token").mapInArrow(meet, "a long, b long, tied boolean").distinct()
+    sent = rows.select("text").mapInArrow(emit, "token long, sig long, sizes long, other long, tied boolean")
+    return sent.repartition("token").sortWithinPartitions("token").mapInArrow(meet, "a long, b long, tied boolean").distinct()
 
 
 def _possible(pairs: DataFrame, reps: DataFrame, link: tuple[int, int]) -> DataFrame:
-    """Of the pairs that are not tied, those that the bound of their points allows; and the tied ones."""
+    """Of the pairs that are not tied, those that the bound of their points allows."""
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, n_a, n_b, p_a, p_b = (batch.column(i).to_pylist() for i in range(6))
-            keep = [x is None or y is None or bound(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) >= need(n, m, link) for x, y, n, m in zip(p_a, p_b, n_a, n_b)]
+            n_a, n_b, p_a, p_b = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = [bound(np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)) >= need(n, m, link) for x, y, n, m in zip(p_a, p_b, n_a, n_b)]
             some = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], ["a", "b"])
 
     point = lambda x: reps.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"p_{x}"))
     loose = pairs.filter(~F.col("tied")).join(point("a"), "a").join(point("b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
-    return loose.mapInArrow(prune, "a long, b long").union(pairs.filter("tied").select("a", "b"))
+    return loose.mapInArrow(prune, "a long, b long")
+
+
+def _payload(raw: list[bytes], exact: bool) -> list[np.ndarray]:
+    """Sorted sets of 64-bit hashes, or points of a byte a group."""
+    return [np.frombuffer(x, np.uint64) if exact else np.frombuffer(x, np.uint8).astype(np.int64) for x in raw]
+
+
+def _within(exact: bool, chunked: bool, link: tuple[int, int]):
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["sig", "home"], ascending=[True, False], kind="stable").drop_duplicates("sig")
+        sig, sizes, home = pdf["sig"].to_numpy(), pdf["n"].to_numpy(np.int64), pdf["home"].to_numpy(bool)
+        data = _payload(list(pdf["payload"]), exact)
+        rest = pdf["rest"].to_numpy(bool) if chunked else None
+        if len(sig) < 2 or (chunked and (rest.all() or not rest.any())):
+            found = []
+        else:
+            points = np.stack([count_vector(s, groups_for(int(sizes.max()))) for s in data]) if exact else folded(data)
+            found = spanning_links(points, sizes, data if exact else None, rest, None if home.all() else home, link)
+        return pd.DataFrame({"a": [sig[x] for x, _ in found], "b": [sig[y] for _, y in found]}, dtype="int64")
+
+    return join
+
+
+def _linked(members: DataFrame, exact: bool, link: tuple[int, int], tag: str) -> list[DataFrame]:
+    """Tables (a, b) whose links join what all links within the groups of `members` (cluster, band, sig, n, home,
+    payload) join: verified on sets where `exact`, else all that the bound of the points allows.
+
+    A group too large for one task is held against the least of its homes; what doesn't link with it is
+    the rest. What does is joined already, so there only the rest meets all others, in chunks.
+    """
+    keys = ["cluster", "band"]
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"), F.min(F.when(F.col("home"), F.col("sig"))).alias("pivot"))
+    large = written(sizes.filter((F.col("members") > MOST_IN_TASK) & F.col("pivot").isNotNull()), f"{tag}-large")
+    schema = "a long, b long"
+    if large.isEmpty():
+        return [written(members.groupBy(*keys).applyInPandas(_within(exact, False, link), schema), tag)]
+    some = members.join(large.select(*keys), keys, "left_anti")
+    out = [written(some.groupBy(*keys).applyInPandas(_within(exact, False, link), schema), tag)]
+    big = members.join(large.select(*keys, "pivot"), keys, "left_semi")
+    pivots = members.filter("home").join(large.select(*keys, F.col("pivot").alias("sig")), [*keys, "sig"]).select(*keys, F.col("sig").alias("pivot"), F.col("n").alias("pivot_n"), F.col("payload").alias("pivot_payload"))
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine, other = _payload(batch.column(5).to_pylist(), exact), _payload(batch.column(8).to_pylist(), exact)
+            n, m = batch.column(3).to_numpy(), batch.column(7).to_numpy()
+            size = [len(np.intersect1d(x, y, assume_unique=True)) if exact else bound(x, y) for x, y in zip(mine, other)]
+            linked = np.array(size) >= need(n, m, link)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], batch.column(6), pa.array(linked)], [*keys, "sig", "n", "home", "payload", "pivot", "linked"])
+
+    joined = big.join(pivots, keys).select(*keys, "sig", "n", "home", "payload", "pivot", "pivot_n", "pivot_payload")
+    held = written(joined.mapInArrow(hold, "cluster long, band int, sig long, n long, home boolean, payload binary, pivot long, linked boolean"), f"{tag}-held")
+    out.append(written(held.filter("linked AND sig <> pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b")), tag))
+    rest = held.filter("NOT linked").groupBy(*keys).agg(F.count(F.lit(1)).alias("others"))
+    counts = written(large.select(*keys, "members").join(rest, keys).select(*keys, *[F.ceil(F.col(c) / MOST_IN_TASK).cast("int").alias(c) for c in ("members", "others")]), f"{tag}-rest")
+    if not counts.isEmpty():
+        # chunks of the rest with all chunks of the rest and of the others; within a chunk of the rest, its own pairs
+        dealt = held.join(counts, keys).withColumn("rest", ~F.col("linked")).withColumn("at", F.pmod(F.xxhash64("sig"), F.when(F.col("rest"), F.col("others")).otherwise(F.col("members"))).cast("int"))
+        chunk = lambda kind, i, j: F.concat_ws(kind, i, j)
+        own, every = F.col("at"), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        with_rest = F.transform(every("others"), lambda i: F.when(i < own, F.struct(chunk("r", i, own).alias("chunk"), F.lit(False).alias("side"))).otherwise(F.struct(chunk("r", own, i).alias("chunk"), F.lit(True).alias("side"))))
+        with_all = F.transform(every("members"), lambda j: F.struct(chunk("m", own, j).alias("chunk"), F.lit(True).alias("side")))
+        to_rest = F.transform(every("others"), lambda i: F.struct(chunk("m", i, own).alias("chunk"), F.lit(False).alias("side")))
+        dealt = dealt.withColumn("to", F.explode(F.when(F.col("rest"), F.concat(with_rest, with_all)).otherwise(to_rest)))
+        dealt = dealt.select(*keys, "sig", "n", "home", "payload", "to.chunk", F.col("to.side").alias("rest"))
+        parted = dealt.withColumn("own", F.element_at(F.split("chunk", "r"), 1) == F.element_at(F.split("chunk", "r"), -1))
+        inside = parted.filter(F.col("chunk").contains("r") & F.col("own"))
+        out.append(written(inside.groupBy(*keys, "chunk").applyInPandas(_within(exact, False, link), schema), tag))
+        across = parted.filter(~(F.col("chunk").contains("r") & F.col("own")))
+        out.append(written(across.groupBy(*keys, "chunk").applyInPandas(_within(exact, True, link), schema), tag))
+    forget(held, counts, large)
+    return out
+
+
+def _united(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out
+
+
+def _banded(members: DataFrame, link: tuple[int, int]) -> DataFrame:
+    """Each point at home in the band of its size and, as a visitor, in the next: linked sizes are one band apart at most."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05 * link[1] / link[0]))).cast("int")
+    places = F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))
+    return members.withColumn("place", F.explode(places)).select("cluster", "place.band", "sig", "n", "place.home", F.col("point").alias("payload"))
 
 
 def _wanted_map(ids: DataFrame) -> np.ndarray:
-    """A bit map of fixed size over hashes of `ids` (column id)."""
-    at = F.pmod(F.xxhash64("id"), F.lit(WANTED_BITS))
-    words = ids.select((at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")).collect()
-    out = np.zeros(WANTED_BITS // 64, np.int64)
-    for r in words:
-        out[r["word"]] = r["mask"]
+    """A bit map over hashes of `ids` (column id), of at least eight bits an id as far as its size allows."""
+    bits = min(MOST_WANTED_BITS, 1 << max(16, (8 * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select((at / 64).cast("int").alias("word"), (at % 64).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[words.column("word").to_numpy()] = words.column("mask").to_numpy()
     return out
 
 
 def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, set) for the rows in `ids`; the map drops most other rows in the task that reads them."""
-    wanted = rows.sparkSession.sparkContext.broadcast(_wanted_map(ids))
+    """(id, payload) for the rows in `ids`; the map drops most other rows in the task that reads them."""
+    found = _wanted_map(ids)
+    wanted, size = rows.sparkSession.sparkContext.broadcast(found), 64 * len(found)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -318,42 +430,45 @@ def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
             take = np.nonzero(bits[at >> 6] >> (at & 63) & 1)[0]
             for i in range(0, len(take), 256):
                 some = batch.take(pa.array(take[i : i + 256]))
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.tobytes() for s in sets_of(some.column(1))], pa.binary())], ["id", "shingles"])
-
-    keyed = rows.filter("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(WANTED_BITS)).alias("at"))
-    return keyed.mapInArrow(fill, "id long, shingles binary").join(ids, "id", "left_semi")
-
+                sets = list(sets_of(some.column(1)))
+                sigs = [signature(s) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sigs, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "sig", "payload"])
 
-def _joined(link: tuple[int, int]):
-    def join(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sig", kind="stable").drop_duplicates("sig")
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"]]
-        sig = pdf["sig"].to_numpy()
-        side = pdf["chunk"].to_numpy() if pdf["pair"].iloc[0] != "" and pdf["chunk"].nunique() > 1 else None
-        found = spanning_links(sets, side, link) if len(sets) > 1 else []
-        return pd.DataFrame({"a": [sig[x] for x, _ in found], "b": [sig[y] for _, y in found]}, dtype="int64")
-
-    return join
+    keyed = rows.filter("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(size)).alias("at"))
+    return keyed.mapInArrow(fill, "id long, sig long, payload binary").join(ids, ["id", "sig"])
 
 
 def linked_signatures(rows: DataFrame, outlines: DataFrame, order: np.ndarray, link: tuple[int, int] = LINK) -> tuple[DataFrame, DataFrame]:
-    """(sets by signature: sig, least id) and the links between signatures."""
+    """(sets by signature: sig, least id, n, point) and links between signatures that join all that are linked."""
     spark = rows.sparkSession
     reps = written(outlines.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point")), "jaccard-reps")
     pairs = written(_shared_prefixes(rows, spark.sparkContext.broadcast(order), link), "jaccard-pairs")
-    edges = _possible(pairs, reps, link)
-    clusters = written(components(edges, "jaccard-clusters").join(reps.filter("id IS NOT NULL"), F.col("node") == F.col("sig")).select("id", "sig", F.col("component").alias("cluster")), "jaccard-members")
-    sets = _sets(rows, clusters.select("id")).dropDuplicates(["id"]).join(clusters, "id").select("sig", "cluster", "shingles")
-    large = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > MOST_IN_TASK)
-    large = written(large.select("cluster", F.ceil(F.col("members") / (MOST_IN_TASK // 2)).cast("int").alias("chunks")), "jaccard-large")
-    if large.isEmpty():
-        dealt = sets.withColumn("chunk", F.lit(0)).withColumn("pair", F.lit(""))
-    else:
-        dealt = sets.join(large, "cluster", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("sig"), F.col("chunks")).cast("int"), F.lit(0)))
-        pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda i: F.concat_ws("-", F.least(i, F.col("chunk")), F.greatest(i, F.col("chunk"))))
-        dealt = dealt.withColumn("pair", F.explode(F.coalesce(pairs, F.array(F.lit("")))))
-    found = dealt.select("sig", "cluster", "chunk", "pair", "shingles").groupBy("cluster", "pair").applyInPandas(_joined(link), "a long, b long")
-    return reps, written(found, "jaccard-links")
+    settle(spark)
+    tied = written(components(pairs.filter("tied").select("a", "b"), "jaccard-ties").select(F.col("node").alias("sig"), F.col("component").alias("cluster")), "jaccard-tied")
+    allowed = _linked(_banded(tied.join(reps, "sig"), link), False, link, "jaccard-allowed")
+    near = written(_possible(pairs, reps, link), "jaccard-near")
+    clusters = components(near.union(_united(allowed)), "jaccard-clusters").join(reps, F.col("node") == F.col("sig"))
+    members = written(clusters.select("id", "sig", F.col("component").alias("cluster"), "n"), "jaccard-members")
+    forget(pairs, tied, near, *allowed)
+    sets = _sets(rows, members).dropDuplicates(["sig"]).select("cluster", F.lit(0).alias("band"), "sig", "n", F.lit(True).alias("home"), "payload")
+    sets = written(sets, "jaccard-sets")
+    found = _united(_linked(sets, True, link, "jaccard-links"))
+    forget(members, sets)
+    return reps, found
+
+
+def _classes(rows: DataFrame, link: tuple[int, int]) -> DataFrame:
+    """(id, mark, n, component_id, sig) of rows (id, mark, text); rows without an id or a shingle have no sig."""
+    outlines = written(_outlines(rows), "jaccard-outlines")
+    each = outlines.filter("chunk IS NULL").select("id", "mark", "n", "sig", "point")
+    reps, found = linked_signatures(rows.filter("id IS NOT NULL"), each.filter("id IS NOT NULL"), _order_table(outlines), link)
+    groups = components(found, "jaccard-groups")
+    joint = reps.join(groups, reps["sig"] == groups["node"], "left").select("sig", "id", F.coalesce("component", "sig").alias("component"))
+    least = joint.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = written(joint.join(least, "component").select("sig", "component", "component_id"), "jaccard-named")
+    out = each.filter("sig IS NOT NULL AND id IS NOT NULL").join(named, "sig").select("id", "mark", "n", "component_id", "component")
+    alone = each.filter("sig IS NULL OR id IS NULL").select("id", "mark", "n", F.col("id").alias("component_id"), F.lit(None).cast("long").alias("component"))
+    return out.union(alone)
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: tuple[int, int] = LINK) -> DataFrame:
@@ -365,20 +480,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of repeated rows each is returned. Other columns are ignored.
     Sets are told apart by 63 bits of hash.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    outlines = written(_outlines(rows), "jaccard-outlines")
-    each = outlines.filter("chunk IS NULL").select("id", "n", "sig", "point")
-    reps, found = linked_signatures(rows.filter("id IS NOT NULL"), each.filter("id IS NOT NULL"), _order_table(outlines), link)
-    groups = components(found, "jaccard-groups")
-    joint = reps.join(groups, reps["sig"] == groups["node"], "left").select("sig", "id", F.coalesce("component", "sig").alias("component"))
-    least = joint.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = written(joint.join(least, "component").select("sig", "component_id"), "jaccard-named")
-    out = each.filter("sig IS NOT NULL AND id IS NOT NULL").join(named, "sig").select("id", "n", "component_id")
-    alone = each.filter("sig IS NULL OR id IS NULL").select("id", "n", F.col("id").alias("component_id"))
-    return out.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(0).cast("long").alias("mark"), F.col(text_col).alias("text"))
+    return _classes(rows, link).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the least of its component, with all their columns; rows without an id stay."""
-    kept = jaccard_classes(docs, id_col, text_col).filter(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.filter(F.col(id_col).isNull()).unionByName(docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi"))
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: tuple[int, int] = LINK) -> DataFrame:
+    """One row of `docs` for each component, that of the least id, with all its columns.
+
+    Rows without an id, and rows without words, stay, each of them. Where rows with the least id have different texts, one
+    text is chosen by a hash; of repeated rows one stays. Columns may have any names; an empty table gives an empty one.
+    """
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    least = _classes(rows, link).filter("id = component_id OR id IS NULL")
+    joined = least.filter("component IS NOT NULL").groupBy("component", "id").agg(F.min("mark").alias("mark"), F.count(F.lit(1)).alias("rows"))
+    joined = joined.select("id", "mark", (F.col("rows") > 1).alias("single"))
+    alone = least.filter("component IS NULL").select("id", "mark", F.lit(False).alias("single")).distinct()
+    return chosen_rows(docs, written(joined.union(alone), "jaccard-kept"), id_col, text_col, F.xxhash64(text))

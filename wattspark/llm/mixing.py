@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattspark.llm.common import WORD, written
+from wattspark.llm.common import WORD, columns_of, fresh, written
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -141,8 +141,29 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix with all their columns, a row for each copy that it takes. Ids are taken to be unique."""
-    copies = mix(docs, id_col, **options).filter("copies > 0").select(F.col(id_col).alias("_mixed_id"), F.col("copies").alias("_copies"))
-    joined = docs.join(copies, docs[id_col].eqNullSafe(F.col("_mixed_id")))
-    return joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents of the mix with all their columns, a row for each copy that it takes.
+
+    Rows that share id, source and size share what the mix takes of them: whole rounds over all of them,
+    then one more of each in the order of a hash. Null ids match null ids; an empty table gives an empty
+    one; columns may have any names.
+    """
+    k_id, k_source, k_size, k_copies, k_rows, k_times, k_last, k_one = fresh(docs, "mix_id", "mix_source", "mix_size", "mix_copies", "mix_rows", "mix_times", "mix_last", "mix_one")
+    taken = mix(docs, id_col, text_col, source_col, **options).groupBy(F.col(id_col).alias(k_id), F.col(source_col).alias(k_source), F.col("size").alias(k_size))
+    taken = written(taken.agg(F.sum("copies").cast("int").alias(k_copies), F.count(F.lit(1)).alias(k_rows)).filter(F.col(k_copies) > 0), "mix-taken")
+    size, source = size_in_words(F.col(f"`{text_col}`")), F.col(f"`{source_col}`").cast("string")
+    joined = docs.join(taken, F.col(f"`{id_col}`").eqNullSafe(F.col(k_id)) & source.eqNullSafe(F.col(k_source)) & (size == F.col(k_size)))
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(k_one, F.explode(F.sequence(F.lit(1), F.col(k_copies)))).select(*columns_of(docs))
+
+    out = repeated(joined.filter(F.col(k_rows) == 1))
+    if taken.filter(F.col(k_rows) > 1).isEmpty():
+        return out
+    # equal rows are folded first, so that many copies of a row are one row of the window
+    apart = joined.filter(F.col(k_rows) > 1).groupBy(*columns_of(docs), k_id, k_source, k_size, k_copies, k_rows).agg(F.count(F.lit(1)).alias(k_times))
+    order = Window.partitionBy(k_id, k_source, k_size).orderBy(F.xxhash64(*columns_of(docs)))
+    apart = apart.withColumn(k_last, F.sum(k_times).over(order))
+    rounds, rest = F.floor(F.col(k_copies) / F.col(k_rows)), F.col(k_copies) % F.col(k_rows)
+    more = F.greatest(F.lit(0), F.least(rest, F.col(k_last)) - (F.col(k_last) - F.col(k_times)))
+    return out.unionByName(repeated(apart.withColumn(k_copies, (rounds * F.col(k_times) + more).cast("int")).filter(F.col(k_copies) > 0)))

@@ -220,11 +220,14 @@ class _Encoder(dict):
 _encoders: dict[str, _Encoder] = {}
 
 
-def _encoder(model: str, pieces: Pieces, head: dict[str, bytes]) -> _Encoder:
+def _encoder(model: str, pieces: Pieces, head: pa.Table) -> _Encoder:
     """The encoder of this worker, which runs many tasks; any words it has kept are right for the model."""
     if model not in _encoders:
+        ids = head.column("ids").combine_chunks()
+        flat = ids.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
+        at = ids.offsets.to_numpy().astype(np.int64) * 4
         _encoders.clear()
-        _encoders[model] = _Encoder(pieces, head)
+        _encoders[model] = _Encoder(pieces, {w: flat[a:b] for w, a, b in zip(head.column("word").to_pylist(), at[:-1].tolist(), at[1:].tolist())})
     return _encoders[model]
 
 
@@ -239,11 +242,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     counted = written(counted.filter((F.length("word") <= LONGEST_WORD) & ~F.col("word").startswith(MARK + MARK)), "pieces-words")
     head = most_frequent(counted, head_words)
     spread = head.select("word").repartition(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), "word")
-    found = encoded_words(spread, pieces).collect()  # at most head_words rows
-    shared = spark.sparkContext.broadcast((pieces, {r["word"]: np.array(r["ids"], np.int32).tobytes() for r in found}))
+    # at most head_words short words, as one Arrow table: some 25 bytes a word, unpacked in the workers alone
+    shared = spark.sparkContext.broadcast((model, pieces, encoded_words(spread, pieces).toArrow().combine_chunks()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = _encoder(model, *shared.value)
+        by = _encoder(*shared.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)
