@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from wattspark.llm.sentence_pieces import Pieces, decoded, encode
-from wattspark.llm.token_counts import Transducer, json_emitter, token_counts
+from wattspark.llm.token_counts import Grammar, Transducer, token_counts
 
 MODEL, WORDS = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
 TEXTS = [None, "", " ", "  a  b ", "a\n\nb\n", "日本語 😀 é", "a" * 3000, "<|endoftext|> x <|endoftext|>y", "don't  WE'LL 12.5%", "x\u00a0y\u2028z", "\tTab\r\n", "word " * 20_000, " " * 300 + "z", "<s> <0x0A>"]
@@ -26,14 +26,37 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts(docs.limit(0), WORDS).count() == 0
 
 
-def test_state_maps_compose_like_whole_texts():
-    arcs = Transducer(json_emitter(WORDS))
+@pytest.fixture(scope="module")
+def words():
+    return Transducer(Grammar(WORDS)), Tokenizer.from_file(WORDS)
+
+
+def test_state_maps_compose_like_whole_texts(words):
+    by, _ = words
     r = random.Random(2)
     for _ in range(200):
         text = "".join(r.choice("ab \n'x") for _ in range(r.randint(0, 60))).encode()
-        assert arcs.count(text, 4) == arcs.count(text, 10**6)
-    small = Transducer(json_emitter(WORDS), most=2)
-    assert small.count(b"one two three one") == arcs.count(b"one two three one")
+        assert by.count(text, 4) == by.count(text, 10**6)
+    small = Transducer(by.grammar, most=2)
+    assert small.count(b"one two three one") == by.count(b"one two three one")
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("theaionrsTHEß'’.,!?<|>0129 -_ΣİÉ日가\u0301\x1c\x85\u3000"), st.characters(exclude_categories=["Cs", "Cn"])), max_size=40), st.integers(1, 50))
+def test_transducer_equals_the_library(words, text, chunk):
+    by, library = words
+    assert by.count(text.encode(), chunk) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_transducer_on_all_documents_and_other_files(words):
+    by, library = words
+    import duckdb
+
+    texts = [x or "" for (x,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    assert [by.count(x.encode()) for x in texts] == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(by.states) < len(by.arcs)
+    with pytest.raises(ValueError):
+        Grammar(P.path("byte_bpe_50k.json"))
 
 
 def test_pieces_equal_the_library(spark):
