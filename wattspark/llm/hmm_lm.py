@@ -1,10 +1,14 @@
 """A hidden Markov language model.
 
-Symbols of the model are the most frequent words, one symbol for all other words, and the end of a text.
+Symbols of the model are the most frequent words, classes of all other words by hash, and the end of a text.
 Baum-Welch trains the latent states: each task runs the scaled forward and backward recursions over its
-texts, cut to segments, and sends expected counts, which are summed across partitions. A text's score is
+whole texts and sends expected counts, which are summed across partitions. A text's score is
 its exact likelihood by the scaled forward recursion over the whole sequence; a word outside the
-symbols also pays for itself among those words.
+symbols also pays for itself among the words of its class, by its count.
+
+The recursions over a long text run in segments side by side: each segment's transfer matrix, the product of
+its steps, carries the forward vector from its first symbol to its last, and the backward vector back,
+so that every segment starts from what the whole text before and after it gives.
 
 Word counts cover the whole corpus and are kept as a table. The commonest words, a list of fixed size,
 are looked up in the tasks; all others meet their counts in a join, where no word can be frequent.
@@ -25,15 +29,16 @@ from wattspark.llm.common import most_frequent, written
 from wattspark.llm.shingles import word_hashes
 
 STATES = 6
-#: Words that are symbols of their own.
+#: Words that are symbols of their own, and classes of all others.
 SYMBOL_WORDS = 4096
+CLASSES = 1024
 #: Words whose counts the tasks hold: a list of fixed size.
 HEAD_WORDS = 1 << 17
 ITERATIONS = 5
 SEGMENT = 64
 SEED = 5
-OTHER, END = SYMBOL_WORDS, SYMBOL_WORDS + 1
-SYMBOLS = SYMBOL_WORDS + 2
+END = SYMBOL_WORDS + CLASSES
+SYMBOLS = END + 1
 _GATHER = 1 << 22
 
 
@@ -70,12 +75,16 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def class_of(words: np.ndarray) -> np.ndarray:
+    """The symbols of words outside the list, by their hashes."""
+    return (SYMBOL_WORDS + (words & (CLASSES - 1))).astype(np.uint16)
+
+
 @dataclass
 class Model:
-    """Start of a text, start of a later segment (training only), transitions and emissions (states x symbols)."""
+    """Start of a text, transitions and emissions (states x symbols)."""
 
     first: np.ndarray
-    later: np.ndarray
     step: np.ndarray
     emit: np.ndarray
 
@@ -85,36 +94,62 @@ class Model:
         # states that last, so that they can stand for languages and manners of writing
         step = 0.1 * (rng.random((states, states)) + 1) / states + 0.9 * np.eye(states)
         emit = unigram * (0.1 + rng.random((states, len(unigram))))
-        even = np.full(states, 1 / states)
-        return Model(even, even, step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+        return Model(np.full(states, 1 / states), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
 
-    def expected(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts (first, later, step, emit) over segments symbols[starts[i]:][:lengths[i]]."""
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths, fresh = starts[order], lengths[order], fresh[order]
+    def expected(self, symbols: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Baum-Welch counts (first, step, emit) of the texts symbols[ends[i]:ends[i + 1]], none of them empty."""
         k, wide = len(self.first), self.emit.T.copy()
+        text, starts, lengths = _segments(ends)
+        order = np.argsort(-lengths, kind="stable")
+        place = np.empty(len(order), np.int64)  # of each segment in that order
+        place[order] = np.arange(len(order))
+        fresh = np.concatenate(([True], text[1:] != text[:-1]))
+        starts, lengths, begins = starts[order], lengths[order], fresh[order]
         active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
-        alphas, scales = [], []
+        # transfer matrices: row x is the forward vector of a segment entered with all weight on state x before its first symbol
+        carry = np.ascontiguousarray(np.broadcast_to(self.step, (len(order), k, k)) * wide[symbols[starts]][:, None, :])
+        carry[begins] = np.diag(self.first)[None] * wide[symbols[starts[begins]]][:, None, :] * k
+        for t, n in enumerate(active[1:], 1):
+            now = (carry[:n].reshape(-1, k) @ self.step).reshape(n, k, k) * wide[symbols[starts[:n] + t]][:, None, :]
+            carry[:n] = now / now.sum(axis=(1, 2), keepdims=True)
+        # what enters each segment: forward from the first one of a text, backward from the last
+        number = np.arange(len(order)) - np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+        enter, leave = np.full((len(order), k), 1 / k), np.ones((len(order), k))
+        by_number = np.split(np.argsort(number, kind="stable"), np.cumsum(np.bincount(number))[:-1])
+        for some in by_number[1:]:
+            alpha = np.einsum("ns,nst->nt", enter[place[some - 1]], carry[place[some - 1]])
+            enter[place[some]] = alpha / alpha.sum(axis=1, keepdims=True)
+        for some in reversed(by_number[1:]):
+            beta = np.einsum("nst,nt->ns", carry[place[some]], leave[place[some]])
+            leave[place[some - 1]] = beta / beta.sum(axis=1, keepdims=True)
+        # within the segments; scales cancel, as each step's pairs are made to sum to one
+        alphas = []
         for t, n in enumerate(active):
             b = wide[symbols[starts[:n] + t]]
-            alpha = np.where(fresh[:n, None], self.first, self.later) * b if t == 0 else (alphas[-1][:n] @ self.step) * b
-            scale = alpha.sum(1)
-            alphas.append(alpha / scale[:, None])
-            scales.append(scale)
+            alpha = np.where(begins[:n, None], self.first, enter[:n] @ self.step) * b if t == 0 else (alphas[-1][:n] @ self.step) * b
+            alphas.append(alpha / alpha.sum(axis=1, keepdims=True))
         step, emit = np.zeros((k, k)), np.zeros((SYMBOLS, k))
-        beta = np.ones((active[0], k))
+        beta = leave.copy()
         for t in range(len(active) - 1, -1, -1):
             n = active[t]
-            if t + 1 < len(active):
-                m = active[t + 1]
-                onward = wide[symbols[starts[:m] + t + 1]] * beta[:m] / scales[t + 1][:, None]
-                step += alphas[t][:m].T @ onward
-                beta[:m] = onward @ self.step.T
             gamma = alphas[t] * beta[:n]
+            gamma /= gamma.sum(axis=1, keepdims=True)
             sym = symbols[starts[:n] + t]
             for s in range(k):
                 emit[:, s] += np.bincount(sym, gamma[:, s], SYMBOLS)
-        return gamma[fresh[: len(gamma)]].sum(0), gamma[~fresh[: len(gamma)]].sum(0), step * self.step, emit.T
+            if t == 0:
+                break
+            onward = wide[sym] * beta[:n]
+            before = onward @ self.step.T
+            whole = (alphas[t - 1][:n] * before).sum(axis=1, keepdims=True)
+            step += alphas[t - 1][:n].T @ (onward / whole)
+            beta[:n] = before / before.sum(axis=1, keepdims=True)
+        later = ~begins  # the steps from one segment to the next
+        if later.any():
+            onward = wide[symbols[starts[later]]] * beta[: len(order)][later]
+            whole = (enter[later] * (onward @ self.step.T)).sum(axis=1, keepdims=True)
+            step += enter[later].T @ (onward / whole)
+        return gamma[begins].sum(axis=0), step * self.step, emit.T
 
     def log10_likelihood(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Of whole sequences, by the scaled forward recursion; a step runs over all sequences that are long enough."""
@@ -132,19 +167,20 @@ class Model:
         return out
 
 
-def _segments(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, lengths, and whether the first of its text, of segments of the texts between `offsets`."""
-    size = np.diff(offsets)
+def _segments(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, start and length of the segments of the texts between `ends`."""
+    size = np.diff(ends)
     each = -(-size // SEGMENT)
     text = np.repeat(np.arange(len(size)), each)
     within = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)
-    return offsets[text] + within * SEGMENT, np.minimum(SEGMENT, size[text] - within * SEGMENT), within == 0
+    return text, ends[text] + within * SEGMENT, np.minimum(SEGMENT, size[text] - within * SEGMENT)
 
 
 def train(sequences: DataFrame, unigram: np.ndarray, states: int = STATES, iterations: int = ITERATIONS, seed: int = SEED) -> Model:
     """Baum-Welch over all rows of a one-column table of symbol sequences (binary, two bytes a symbol).
 
     What an iteration sends to the driver is the model's own size: a row of `states` numbers for each symbol.
+    Null and empty sequences count nothing; without any, the model is the smoothed `unigram`.
     """
     model = Model.initial(unigram, states, seed)
     spark = sequences.sparkSession
@@ -153,30 +189,30 @@ def train(sequences: DataFrame, unigram: np.ndarray, states: int = STATES, itera
 
         def counts(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             now = shared.value
-            total = np.zeros((SYMBOLS + states + 2, states))
+            total = np.zeros((SYMBOLS + states + 1, states))
             for batch in batches:
                 raw = [x for x in batch.column(0).to_pylist() if x]
-                for i in range(0, len(raw), 1024):
-                    symbols = np.frombuffer(b"".join(raw[i : i + 1024]), np.uint16)
-                    starts, lengths, fresh = _segments(np.concatenate(([0], np.cumsum([len(x) // 2 for x in raw[i : i + 1024]]))))
-                    for j in range(0, len(starts), 4096):
-                        first, later, step, emit = now.expected(symbols, starts[j : j + 4096], lengths[j : j + 4096], fresh[j : j + 4096])
-                        total[:SYMBOLS] += emit.T
-                        total[SYMBOLS : SYMBOLS + states] += step
-                        total[-2] += first
-                        total[-1] += later
+                ends = np.concatenate(([0], np.cumsum([len(x) // 2 for x in raw])))
+                at = 0
+                while at < len(raw):  # some texts at a time; a longer one alone
+                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + (1 << 18), side="right")) - 1)
+                    first, step, emit = now.expected(np.frombuffer(b"".join(raw[at:to]), np.uint16), ends[at : to + 1] - ends[at])
+                    total[:SYMBOLS] += emit.T
+                    total[SYMBOLS : SYMBOLS + states] += step
+                    total[-1] += first
+                    at = to
             rows = np.nonzero(total.any(axis=1))[0]
             yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *[pa.array(total[rows, s]) for s in range(states)]], ["row", *[f"s{s}" for s in range(states)]])
 
         schema = "row int, " + ", ".join(f"s{s} double" for s in range(states))
         sums = sequences.mapInArrow(counts, schema).groupBy("row").agg(*[F.sum(f"s{s}").alias(f"s{s}") for s in range(states)]).collect()
-        table = np.zeros((SYMBOLS + states + 2, states))
+        table = np.zeros((SYMBOLS + states + 1, states))
         for r in sums:
             table[r["row"]] = r[1:]
         shared.unpersist()
         emit = table[:SYMBOLS].T + 10 * unigram  # smoothed by the words' own frequencies
-        step, first, later = table[SYMBOLS : SYMBOLS + states] + 1, table[-2] + 1, table[-1] + 1
-        model = Model(first / first.sum(), later / later.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
+        step, first = table[SYMBOLS : SYMBOLS + states] + 1, table[-1] + 1
+        model = Model(first / first.sum(), step / step.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
     return model
 
 
@@ -198,14 +234,20 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     n_all, v_all = words["n"] + ends, words["v"] + (ends > 0)
     base_room = n_all + v_all + 1
     by_hash = sorted((r["word"], r["n"], i) for i, r in enumerate(head))
-    table = np.array([x[0] for x in by_hash], np.int64), np.array([x[1] for x in by_hash], np.int64), np.array([min(x[2], OTHER) for x in by_hash], np.uint16)
-    in_symbols = sum(r["n"] for r in head[:SYMBOL_WORDS])
-    other_n, other_v = words["n"] - in_symbols, words["v"] - min(len(head), SYMBOL_WORDS)
-    other_room = other_n + other_v + 1  # the last for words never seen
-    shared = spark.sparkContext.broadcast(table)
+    table = np.array([x[0] for x in by_hash], np.int64), np.array([x[1] for x in by_hash], np.int64), np.array([x[2] if x[2] < SYMBOL_WORDS else class_of(np.array([x[0]]))[0] for x in by_hash], np.uint16)
+    # a class has room for its words' counts, one more for each, and one for a word never seen
+    class_n, class_v = np.zeros(CLASSES), np.zeros(CLASSES)
+    at = F.col("word").bitwiseAND(F.lit(CLASSES - 1)).alias("at")
+    for r in counts.groupBy(at).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():  # CLASSES rows
+        class_n[r["at"]], class_v[r["at"]] = r["n"], r["v"]
+    for r in head[:SYMBOL_WORDS]:
+        class_n[r["word"] & (CLASSES - 1)] -= r["n"]
+        class_v[r["word"] & (CLASSES - 1)] -= 1
+    room = np.log10(class_n + class_v + 1)
+    shared = spark.sparkContext.broadcast((*table, room))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n, symbol = shared.value
+        known, n, symbol, log_room = shared.value
         serial = TaskContext.get().partitionId() << 40
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
@@ -216,10 +258,11 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 serial += m
                 at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
                 found = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-                sym = np.where(found, symbol[at], OTHER).astype(np.uint16) if len(known) else np.full(len(hashes), OTHER, np.uint16)
+                sym = np.where(found, symbol[at], class_of(hashes)) if len(known) else class_of(hashes)
                 log_c = np.where(found, np.log10((n[at] if len(known) else np.zeros(len(hashes))) + 1.0), 0.0)
                 owner = np.repeat(np.arange(m), np.diff(first))
-                apart = np.where(found & (sym == OTHER), log_c - np.log10(other_room), 0.0)
+                classed = sym >= SYMBOL_WORDS  # all rare words are; their counts come by the join
+                apart = np.where(classed, log_c, 0.0) - np.where(classed, log_room[np.maximum(sym, SYMBOL_WORDS) - SYMBOL_WORDS], 0.0)
                 sums = [np.bincount(owner, w, m).astype(np.float64) for w in (found, np.where(found, log_c - np.log10(base_room), 0.0), apart)]
                 ended = [sym[first[j] : first[j + 1]].tobytes() + END.to_bytes(2, "little") for j in range(m)]
                 rare, rare_owner = hashes[~found], owner[~found]
@@ -252,7 +295,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
 
     unigram = np.ones(SYMBOLS)
     unigram[: min(len(head), SYMBOL_WORDS)] += [r["n"] for r in head[:SYMBOL_WORDS]]
-    unigram[OTHER] += other_n
+    unigram[SYMBOL_WORDS:END] += class_n
     unigram[END] += ends
     unigram /= unigram.sum()
     model = spark.sparkContext.broadcast(train(texts.filter("training").select("symbols"), unigram, states, iterations))
@@ -273,7 +316,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     per_text = rare.groupBy("key").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("rare_known"),
         F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(float(base_room)))).alias("rare_base"),
-        F.sum(F.col("times") * F.log10((F.col("c") + 1) / F.lit(float(other_room)))).alias("rare_apart"),
+        F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rare_apart"),
     )
     nil = lambda c: F.coalesce(F.col(c), F.lit(0))
     end_base = float(np.log10((ends + 1) / base_room))
