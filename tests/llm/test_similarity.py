@@ -4,7 +4,7 @@ import numpy as np
 
 from wattspark.llm.components import components
 from wattspark.llm.embedding_dedup import embedding_dedup
-from wattspark.llm.jaccard_join import RTree, _meeting, bound, count_vector, groups_for, jaccard_classes, need, one_of_each, spanning_links
+from wattspark.llm.jaccard_join import RTree, _meeting, _packed, _unpacked, bound, count_vector, groups_for, jaccard_classes, need, one_of_each, size_codes, spanning_links
 
 
 def roots(n, edges):
@@ -67,7 +67,7 @@ def test_jaccard_classes_against_brute_force(spark, monkeypatch):
     edges = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
     want = roots(len(data), edges)
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(data)], "doc_id long, text string, sig int, n int").repartition(3)
-    for most, few in ((512, 8), (8, 8), (3, 2), (3, 1)):  # whole clusters; clusters held against one of theirs; most documents tied
+    for most, few in ((512, 8), (3, 2)):  # whole clusters; clusters held against one of theirs; most documents tied
         monkeypatch.setattr(jaccard_join, "MOST_IN_TASK", most)
         monkeypatch.setattr(jaccard_join, "FEW", few)
         got = {r.doc_id: r for r in jaccard_classes(docs).collect()}
@@ -120,10 +120,14 @@ def test_points_bound_overlaps_and_the_tree_misses_nothing():
         assert bound(a, b) >= len(np.intersect1d(sets[i], sets[j]))
     found = spanning_links(points, sizes, sets)
     assert len({*map(tuple, map(sorted, found))} - {*map(lambda p: tuple(sorted(p)), both)}) == 0
-    join = lambda e: sorted(map(sorted, {c: [x for x in range(300) if roots(300, e)[x] == c] for c in set(roots(300, e))}.values()))
+    def join(links):
+        root = roots(300, links)
+        return sorted([x for x in range(300) if root[x] == c] for c in set(root))
+
     assert join(found) == join(both)
     allowed = spanning_links(points, sizes)
-    assert len(join(allowed)) <= len(join(both)) and all(any({i, j} <= {*group} for group in join(allowed)) for i, j in both)
+    root = roots(300, allowed)
+    assert len(set(root)) <= len(join(both)) and all(root[i] == root[j] for i, j in both)
     rest = r.random(300) < 0.2  # only links between the sides
     assert join(spanning_links(points, sizes, sets, rest)) == join([(i, j) for i, j in both if rest[i] != rest[j]])
 
@@ -153,18 +157,31 @@ def test_embedding_links_against_brute_force(spark, monkeypatch):
 
 
 def test_rows_of_a_shingle_are_parted_by_size():
-    rows = lambda n: np.arange(n, dtype=np.int64)
-    sizes = np.array([100, 120, 60, 58, 20, 20, 21, 22, 23, 24, 25, 26, 27, 28], np.int64)
-    tokens = np.full(len(sizes), 7, np.int64)
-    kept, low, high, stands, near, ties = _meeting(tokens, rows(len(sizes)), sizes, sizes, np.zeros(len(sizes), bool), (75, 100))
+    def meeting(sigs, least, most, stands):
+        low, high = size_codes(np.array(least)).astype(np.int32), size_codes(np.array(most)).astype(np.int32) + 1
+        return _meeting(np.full(len(sigs), 7, np.int64), np.array(sigs), low, high, np.zeros(len(sigs), np.uint8), np.array(stands), (75, 100))
+
+    sizes = [100, 120, 60, 58, 20, 20, 21, 22, 23, 24, 25, 26, 27, 28]
+    kept, low, high, stands, near, ties = meeting(range(14), sizes, sizes, [False] * 14)
     assert near.tolist() == [[0, 1], [2, 3]]
-    assert len(ties) == 9 and {*ties.ravel()} == {*range(4, 14)}
-    assert [(int(a), int(b), bool(c)) for a, b, c in zip(low, high, stands)].count((20, 28, True)) == 1 and len(kept) == 5
+    assert len(ties) == 9 and {*ties.ravel()} == {*range(4, 14)} and stands.sum() == 1 and len(kept) == 5
     # a row that stands for sizes from 20 to 28 ties one of 35, and one of 15, but not one of 60
-    more = _meeting(np.full(4, 7, np.int64), np.array([50, 51, 52, 53]), np.array([20, 35, 15, 60]), np.array([28, 35, 15, 60]), np.array([True, False, False, False]), (75, 100))
+    more = meeting([50, 51, 52, 53], [20, 35, 15, 60], [28, 35, 15, 60], [True, False, False, False])
     assert sorted(map(tuple, more[5].tolist())) == [(50, 52), (51, 52)] and not len(more[4])
 
 
+def test_rows_of_shingles_are_packed_and_places_leave_room():
+    r = np.random.default_rng(4)
+    n = 300
+    rows = [r.integers(0, 2**40, n), r.integers(0, 2**40, n), r.integers(0, 9000, n).astype(np.int32), r.integers(9000, 9999, n).astype(np.int32), r.integers(0, 255, n).astype(np.uint8), r.random(n) < 0.3]
+    got = _unpacked(_packed(*rows))
+    assert all((a == b).all() for k, (a, b) in enumerate(zip(got, rows)) if k != 3)
+    assert (got[3] == np.where(rows[5], rows[3], rows[2] + 1)).all()
+    code = np.full(2, size_codes(np.array([100]))[0], np.int32)
+    pairs = lambda place: len(_meeting(np.full(2, 7), np.arange(2), code, code + 1, np.array([0, place * 1020 // 100], np.uint8), np.zeros(2, bool), (75, 100))[4])
+    assert [pairs(x) for x in (0, 14, 16, 24)] == [1, 1, 0, 0]  # 86 of 100 must be common
+
+
 def test_one_of_each_of_rows_that_share_an_id(spark):
     a, b = "u v w x y z a b c d", "k l m n o p q r s t"
     docs = spark.createDataFrame([(1, a, "x"), (1, a, "x"), (1, b, "x"), (0, b, "x"), (None, a, "x"), (4, "", "x"), (5, None, "x")], "doc_id long, text string, own_mark string").repartition(2)

@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattspark.llm.common import chosen_rows, forget, settle, written
+from wattspark.llm.common import chosen_rows, forget, parallelism, settle, written
 from wattspark.llm.components import components
 from wattspark.llm.shingles import mixed, sets_of, signature
 
@@ -38,6 +38,8 @@ from wattspark.llm.shingles import mixed, sets_of, signature
 LINK = (75, 100)
 #: Counters of the shingle order: a table of fixed size, whatever the corpus (1 byte a counter from each task and in the broadcast).
 ORDER_SLOTS = 1 << 21
+#: Rows of four numbers that are broadcast at most.
+MOST_BROADCAST = 1 << 18
 _CHUNK = 1 << 16
 #: Shingles a group of the count vectors holds on average.
 GROUP_LOAD = 8
@@ -200,112 +202,155 @@ _GATHER = 1 << 21
 FEW = 8
 
 
-def _meeting(tokens: np.ndarray, sigs: np.ndarray, low: np.ndarray, high: np.ndarray, stands: np.ndarray, link: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What to pass on of rows (token, signature, sizes from low to high, stands for many): an index of rows, their
-    sizes from and to, which of these stand for many, pairs (a < b) of signatures that share a token with
+#: In rows of shingles: sizes as logarithms in steps of a thousandth, places in the prefix as shares of the size, and 40
+#: bits of shingles (besides those of their bucket) and signatures. More than one document may answer to a node; that only adds candidates.
+_STEPS, _PLACES, _NODE = 1024, 1020, (1 << 40) - 1
+
+
+def size_codes(n: np.ndarray) -> np.ndarray:
+    """A code of sizes, rounded down; the next one is above the size."""
+    return np.floor(np.log2(n) * _STEPS + 1e-9).astype(np.uint16)
+
+
+def _size_of(codes: np.ndarray) -> np.ndarray:
+    return np.exp2(codes / _STEPS)
+
+
+def _meeting(tokens: np.ndarray, nodes: np.ndarray, low: np.ndarray, high: np.ndarray, places: np.ndarray, stands: np.ndarray, link: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What to pass on of rows (token, node, codes of sizes from low to below high, place, stands for many): an index of rows, their
+    sizes from and to, which of these stand for many, pairs (a < b) of nodes that share a token with
     few others, and pairs that tie those of a token with many to one of them.
 
-    The rows of a token are parted by size where none on one side can link with any on the other; sizes too far
-    apart make no pair. The rows of a part with many are passed on as one. It stands for
+    The rows of a token are parted by size where none on one side can link with any on the other. A pair whose first common
+    token this is must find its overlap in what follows; sizes and places that leave too little make no pair. The
+    rows of a part with many are passed on as one. It stands for
     others that may link where it doesn't, so a part with such a row has many, however few rows arrive.
     """
-    order = np.lexsort((sigs, stands, low, tokens))
-    tokens, sigs, low, high, stands = tokens[order], sigs[order], low[order], high[order], stands[order]
+    order = np.lexsort((nodes, stands, low, tokens))
+    tokens, nodes, stands = tokens[order], nodes[order], stands[order]
     once = np.ones(len(tokens), bool)  # a set that several tasks have met
-    once[1:] = (tokens[1:] != tokens[:-1]) | (sigs[1:] != sigs[:-1]) | stands[1:] | stands[:-1]
-    order, tokens, sigs, low, high, stands = order[once], tokens[once], sigs[once], low[once], high[once], stands[once]
+    once[1:] = (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1]) | stands[1:] | stands[:-1]
+    order, tokens, nodes, stands = order[once], tokens[once], nodes[once], stands[once]
+    low, high, places = low[order].astype(np.int64), high[order].astype(np.int64), places[order]
+    least, most = _size_of(low), _size_of(high)
     first = np.ones(len(tokens), bool)
     first[1:] = tokens[1:] != tokens[:-1]
-    reach = np.maximum.accumulate(high + ((np.cumsum(first) - 1) << 32)) & 0xFFFFFFFF  # the largest size so far of the token
-    first[1:] |= reach[:-1] * link[1] < low[1:] * link[0]
+    reach = np.maximum.accumulate(high + ((np.cumsum(first) - 1) << 20)) & 0xFFFFF  # the largest size so far of the token
+    first[1:] |= _size_of(reach[:-1]) * link[1] < least[1:] * link[0]
     group = np.cumsum(first) - 1
     few = ((np.bincount(group) <= FEW) & (np.bincount(group, stands) == 0))[group]
+    rest = most - np.floor(places / _PLACES * least)  # what is left of a set from the token on
     pairs = [np.zeros((0, 2), np.int64)]
     for step in range(1, FEW):
         i = np.nonzero(few[:-step] & (group[:-step] == group[step:]))[0]
-        i = i[(high[i] * link[1] >= low[i + step] * link[0]) & (sigs[i] != sigs[i + step])]
-        pairs.append(np.stack([np.minimum(sigs[i], sigs[i + step]), np.maximum(sigs[i], sigs[i + step])], axis=1))
+        needed = (least[i] + least[i + step]) * link[0] / sum(link)
+        i = i[(most[i] * link[1] >= least[i + step] * link[0]) & (np.minimum(rest[i], rest[i + step]) + 1e-6 >= needed) & (nodes[i] != nodes[i + step])]
+        pairs.append(np.sort(np.stack([nodes[i], nodes[i + step]], axis=1), axis=1))
     near = np.unique(np.concatenate(pairs), axis=0)
     many = np.nonzero(~few & ~first)[0]
-    ties = np.stack([sigs[first][group[many]], sigs[many]], axis=1)
+    ties = np.stack([nodes[first][group[many]], nodes[many]], axis=1)
     ties = np.unique(np.sort(ties, axis=1), axis=0)
     kept = few | first
     upto = np.maximum.reduceat(high, np.nonzero(first)[0])[group] if len(high) else high
     return order[kept], low[kept], np.where(few, high, upto)[kept], ~few[kept], near, ties[ties[:, 0] != ties[:, 1]]
 
 
-def _pairs_batch(near: np.ndarray, ties: np.ndarray, names: list[str], wide: bool) -> pa.RecordBatch:
-    both = np.concatenate([near, ties])
-    kind = pa.array(np.arange(len(both)) >= len(near))
-    a, b = pa.array(both[:, 0]), pa.array(both[:, 1])
-    return pa.RecordBatch.from_arrays([a, a, pa.nulls(len(both), pa.int64()), b, kind] if wide else [a, b, kind], names)
+def _packed(tokens: np.ndarray, nodes: np.ndarray, low: np.ndarray, high: np.ndarray, places: np.ndarray, stands: np.ndarray) -> bytes:
+    """Rows of shingles as bytes: thirteen for each, and six more for those that stand for many."""
+    five = lambda x: np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+    some = np.nonzero(stands)[0]
+    head = np.array([len(tokens), len(some)], np.int32).tobytes()
+    return b"".join([head, five(tokens), five(nodes), low.astype(np.uint16).tobytes(), places.tobytes(), some.astype(np.int32).tobytes(), high[some].astype(np.uint16).tobytes()])
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, ...]:
+    m, k = np.frombuffer(raw, np.int32, 2)
+    ends = np.cumsum([8, 5 * m, 5 * m, 2 * m, m, 4 * k, 2 * k])
+    part = [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    def wide(x: bytes) -> np.ndarray:
+        out = np.zeros((m, 8), np.uint8)
+        out[:, :5] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+        return out.view(np.int64).ravel()
+
+    low = np.frombuffer(part[2], np.uint16).astype(np.int32)
+    stands, high = np.zeros(m, bool), low + 1
+    some = np.frombuffer(part[4], np.int32)
+    stands[some], high[some] = True, np.frombuffer(part[5], np.uint16)
+    return wide(part[0]), wide(part[1]), low, high, np.frombuffer(part[3], np.uint8), stands
 
 
 def _shared_prefixes(rows: DataFrame, order, link: tuple[int, int]) -> DataFrame:
-    """(a, b, tied): pairs of signatures with a shingle in both prefixes; where many share one, `tied` pairs that connect them.
+    """(a, b, tied): pairs of nodes (40 bits of signatures) with a shingle in both prefixes; where many share one, `tied` pairs that connect them.
 
     A task combines its own rows first, so a shingle sends few rows from each task, however many
-    documents hold it. In the rows of shingles, `tied` marks those that stand for many, and `sizes` packs
-    the least and the largest size that a row stands for. They are sorted by shingle, so a task that
-    meets them holds some at a time.
+    documents hold it. Rows go by buckets of shingles, packed; a task that meets them holds a bucket at a time.
     """
-    names = ["token", "sig", "sizes", "other", "tied"]
-
-    def combined(tokens: list, sigs: list, sizes: list) -> Iterator[pa.RecordBatch]:
-        t, s, n = np.concatenate(tokens), np.concatenate(sigs), np.concatenate(sizes)
-        kept, low, high, stands, _, ties = _meeting(t, s, n, n, np.zeros(len(t), bool), link)
-        together = np.argsort(kept)  # a document's rows stay together, which packs them better
-        kept, low, high, stands = kept[together], low[together], high[together], stands[together]
-        yield pa.RecordBatch.from_arrays([pa.array(t[kept]), pa.array(s[kept]), pa.array(low | high << 32), pa.nulls(len(kept), pa.int64()), pa.array(stands)], names)
+    buckets = 8 * parallelism(rows.sparkSession)
+    names = ["bucket", "packed", "a", "b"]
+
+    def combined(tokens: list, nodes: list, sizes: list, places: list) -> Iterator[pa.RecordBatch]:
+        t, s, low, at = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(sizes), np.concatenate(places)
+        kept, low, high, stands, _, ties = _meeting(t, s, low, low.astype(np.int32) + 1, at, np.zeros(len(t), bool), link)
+        to = ((t[kept].view(np.uint64) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
+        place = np.argsort(to, kind="stable")
+        kept, low, high, stands, to = kept[place], low[place], high[place], stands[place], to[place]
+        begins = np.nonzero(np.concatenate(([True], to[1:] != to[:-1])))[0]
+        packed = [_packed(t[kept[i:j]], s[kept[i:j]], low[i:j], high[i:j], at[kept[i:j]], stands[i:j]) for i, j in zip(begins, [*begins[1:], len(to)])]
+        none = pa.nulls(len(packed), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(to[begins]), pa.array(packed, pa.binary()), none, none], names)
         if len(ties):
-            yield _pairs_batch(ties[:0], ties, names, True)
+            yield pa.RecordBatch.from_arrays([pa.array((ties[:, 1] % buckets).astype(np.int32)), pa.nulls(len(ties), pa.binary()), pa.array(ties[:, 0]), pa.array(ties[:, 1])], names)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, seen = order.value, set()
-        tokens, sigs, sizes, held = [], [], [], 0
+        held: list[list[np.ndarray]] = [[], [], [], []]
+        size = 0
         for batch in batches:
             for s in sets_of(batch.column(0)):
                 if not len(s) or (sig := signature(s)) in seen:  # copies in one task once
                     continue
                 if len(seen) < 1 << 20:
                     seen.add(sig)
-                tokens.append(prefix(s, classes, link).view(np.int64))
-                sigs.append(np.full(len(tokens[-1]), sig, np.int64))
-                sizes.append(np.full(len(tokens[-1]), len(s), np.int64))
-                held += len(tokens[-1])
-                if held > _GATHER:
-                    yield from combined(tokens, sigs, sizes)
-                    tokens, sigs, sizes, held = [], [], [], 0
-        if held:
-            yield from combined(tokens, sigs, sizes)
+                own = prefix(s, classes, link).view(np.int64)
+                held[0].append(own)
+                held[1].append(np.full(len(own), sig & _NODE, np.int64))
+                held[2].append(np.full(len(own), size_codes(np.array([len(s)]))[0], np.uint16))
+                held[3].append((np.arange(len(own)) * _PLACES // len(s)).clip(0, 255).astype(np.uint8))
+                size += len(own)
+                if size > _GATHER:
+                    yield from combined(*held)
+                    held, size = [[], [], [], []], 0
+        if size:
+            yield from combined(*held)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = [[], [], [], []]
+        held: list[bytes] = []
+        now = None
 
-        def met(columns: list[np.ndarray]) -> pa.RecordBatch:
-            t, s, sizes, stands = columns
-            *_, near, ties = _meeting(t, s, sizes & 0xFFFFFFFF, sizes >> 32, stands, link)
-            return _pairs_batch(near, ties, ["a", "b", "tied"], False)
+        def met() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*map(_unpacked, held))]
+            *_, near, ties = _meeting(*columns, link)
+            both = np.concatenate([near, ties])
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) >= len(near))], ["a", "b", "tied"])
 
         for batch in batches:
-            known = batch.column(3).is_valid()
-            done = batch.filter(known)
-            if done.num_rows:
-                yield pa.RecordBatch.from_arrays([done.column(1), done.column(3), done.column(4)], ["a", "b", "tied"])
-            rest = batch.filter(pyarrow.compute.invert(known))
-            for k, kind in enumerate((np.int64, np.int64, np.int64, bool)):
-                held[k].append(rest.column((0, 1, 2, 4)[k]).to_numpy(zero_copy_only=False).astype(kind))
-            if sum(map(len, held[0])) > _GATHER // 4:
-                columns = [np.concatenate(x) for x in held]
-                cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last shingle may go on
-                held = [[x[cut:]] for x in columns]
-                if cut:
-                    yield met([x[:cut] for x in columns])
-        if sum(map(len, held[0])):
-            yield met([np.concatenate(x) for x in held])
-
-    sent = rows.select("text").mapInArrow(emit, "token long, sig long, sizes long, other long, tied boolean")
-    return sent.repartition("token").sortWithinPartitions("token").mapInArrow(meet, "a long, b long, tied boolean").distinct()
+            known = batch.filter(batch.column(2).is_valid())
+            if known.num_rows:
+                yield pa.RecordBatch.from_arrays([known.column(2), known.column(3), pa.array(np.ones(known.num_rows, bool))], ["a", "b", "tied"])
+            for bucket, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if packed is None:
+                    continue
+                if bucket != now and held:
+                    yield met()
+                    held = []
+                now = bucket
+                held.append(packed)
+        if held:
+            yield met()
+
+    sent = rows.select("text").mapInArrow(emit, "bucket int, packed binary, a long, b long")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, tied boolean").distinct()
 
 
 def _possible(pairs: DataFrame, reps: DataFrame, link: tuple[int, int]) -> DataFrame:
@@ -318,8 +363,9 @@ def _possible(pairs: DataFrame, reps: DataFrame, link: tuple[int, int]) -> DataF
             some = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], ["a", "b"])
 
-    point = lambda x: reps.select(F.col("sig").alias(x), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"p_{x}"))
-    loose = pairs.filter(~F.col("tied")).join(point("a"), "a").join(point("b"), "b").select("a", "b", "n_a", "n_b", "p_a", "p_b")
+    point = lambda x: reps.select(F.col("node").alias(f"node_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"p_{x}"))
+    both = pairs.filter(~F.col("tied")).join(point("a"), F.col("a") == F.col("node_a")).join(point("b"), F.col("b") == F.col("node_b"))
+    loose = both.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"), "n_a", "n_b", "p_a", "p_b")
     return loose.mapInArrow(prune, "a long, b long")
 
 
@@ -344,19 +390,21 @@ def _within(exact: bool, chunked: bool, link: tuple[int, int]):
     return join
 
 
-def _linked(members: DataFrame, exact: bool, link: tuple[int, int], tag: str) -> list[DataFrame]:
+def _linked(members: DataFrame, places: DataFrame, exact: bool, link: tuple[int, int], tag: str) -> list[DataFrame]:
     """Tables (a, b) whose links join what all links within the groups of `members` (cluster, band, sig, n, home,
-    payload) join: verified on sets where `exact`, else all that the bound of the points allows.
+    payload) join: verified on sets where `exact`, else all that the bound of the points allows. `places` has the
+    same rows without payloads.
 
     A group too large for one task is held against the least of its homes; what doesn't link with it is
     the rest. What does is joined already, so there only the rest meets all others, in chunks.
     """
     keys = ["cluster", "band"]
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"), F.min(F.when(F.col("home"), F.col("sig"))).alias("pivot"))
+    sizes = places.groupBy(*keys).agg(F.count(F.lit(1)).alias("members"), F.min(F.when(F.col("home"), F.col("sig"))).alias("pivot"))
     large = written(sizes.filter((F.col("members") > MOST_IN_TASK) & F.col("pivot").isNotNull()), f"{tag}-large")
     schema = "a long, b long"
     if large.isEmpty():
         return [written(members.groupBy(*keys).applyInPandas(_within(exact, False, link), schema), tag)]
+    members = written(members, f"{tag}-members")
     some = members.join(large.select(*keys), keys, "left_anti")
     out = [written(some.groupBy(*keys).applyInPandas(_within(exact, False, link), schema), tag)]
     big = members.join(large.select(*keys, "pivot"), keys, "left_semi")
@@ -390,7 +438,7 @@ def _linked(members: DataFrame, exact: bool, link: tuple[int, int], tag: str) ->
         out.append(written(inside.groupBy(*keys, "chunk").applyInPandas(_within(exact, False, link), schema), tag))
         across = parted.filter(~(F.col("chunk").contains("r") & F.col("own")))
         out.append(written(across.groupBy(*keys, "chunk").applyInPandas(_within(exact, True, link), schema), tag))
-    forget(held, counts, large)
+    forget(held, counts, large, members)
     return out
 
 
@@ -401,7 +449,7 @@ def _united(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _banded(members: DataFrame, link: tuple[int, int]) -> DataFrame:
+def _banded(members: DataFrame, link: tuple[int, int]) -> DataFrame:  # (cluster, sig, n, point)
     """Each point at home in the band of its size and, as a visitor, in the next: linked sizes are one band apart at most."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.05 * link[1] / link[0]))).cast("int")
     places = F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band + 1).alias("band"), F.lit(False).alias("home")))
@@ -435,25 +483,27 @@ def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(sigs, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "sig", "payload"])
 
     keyed = rows.filter("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(size)).alias("at"))
-    return keyed.mapInArrow(fill, "id long, sig long, payload binary").join(ids, ["id", "sig"])
+    few = ids.count() <= MOST_BROADCAST  # else a join by shuffle
+    return keyed.mapInArrow(fill, "id long, sig long, payload binary").join(F.broadcast(ids) if few else ids, ["id", "sig"])
 
 
 def linked_signatures(rows: DataFrame, outlines: DataFrame, order: np.ndarray, link: tuple[int, int] = LINK) -> tuple[DataFrame, DataFrame]:
     """(sets by signature: sig, least id, n, point) and links between signatures that join all that are linked."""
     spark = rows.sparkSession
-    reps = written(outlines.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point")), "jaccard-reps")
+    reps = written(outlines.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("point").alias("point")).withColumn("node", F.col("sig").bitwiseAND(F.lit(_NODE))), "jaccard-reps")
     pairs = written(_shared_prefixes(rows, spark.sparkContext.broadcast(order), link), "jaccard-pairs")
     settle(spark)
-    tied = written(components(pairs.filter("tied").select("a", "b"), "jaccard-ties").select(F.col("node").alias("sig"), F.col("component").alias("cluster")), "jaccard-tied")
-    allowed = _linked(_banded(tied.join(reps, "sig"), link), False, link, "jaccard-allowed")
+    tied = components(pairs.filter("tied").select("a", "b"), "jaccard-ties").select("node", F.col("component").alias("cluster"))
+    tied = written(tied.join(reps, "node").select("sig", "cluster", "n", "point"), "jaccard-tied")
+    banded = _banded(tied, link)
+    allowed = _linked(banded, banded.drop("payload"), False, link, "jaccard-allowed")
     near = written(_possible(pairs, reps, link), "jaccard-near")
-    clusters = components(near.union(_united(allowed)), "jaccard-clusters").join(reps, F.col("node") == F.col("sig"))
+    clusters = components(near.union(_united(allowed)), "jaccard-clusters").withColumnRenamed("node", "sig").join(reps, "sig")
     members = written(clusters.select("id", "sig", F.col("component").alias("cluster"), "n"), "jaccard-members")
     forget(pairs, tied, near, *allowed)
-    sets = _sets(rows, members).dropDuplicates(["sig"]).select("cluster", F.lit(0).alias("band"), "sig", "n", F.lit(True).alias("home"), "payload")
-    sets = written(sets, "jaccard-sets")
-    found = _united(_linked(sets, True, link, "jaccard-links"))
-    forget(members, sets)
+    whole = (F.lit(0).alias("band"), "sig", "n", F.lit(True).alias("home"))
+    found = _united(_linked(_sets(rows, members).select("cluster", *whole, "payload"), members.select("cluster", *whole), True, link, "jaccard-links"))
+    forget(members)
     return reps, found
 
 
@@ -463,7 +513,7 @@ def _classes(rows: DataFrame, link: tuple[int, int]) -> DataFrame:
     each = outlines.filter("chunk IS NULL").select("id", "mark", "n", "sig", "point")
     reps, found = linked_signatures(rows.filter("id IS NOT NULL"), each.filter("id IS NOT NULL"), _order_table(outlines), link)
     groups = components(found, "jaccard-groups")
-    joint = reps.join(groups, reps["sig"] == groups["node"], "left").select("sig", "id", F.coalesce("component", "sig").alias("component"))
+    joint = reps.select("sig", "id").join(groups, reps["sig"] == groups["node"], "left").select("sig", "id", F.coalesce("component", "sig").alias("component"))
     least = joint.groupBy("component").agg(F.min("id").alias("component_id"))
     named = written(joint.join(least, "component").select("sig", "component", "component_id"), "jaccard-named")
     out = each.filter("sig IS NOT NULL AND id IS NOT NULL").join(named, "sig").select("id", "mark", "n", "component_id", "component")
