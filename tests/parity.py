@@ -25,13 +25,13 @@ def _value(x):
     if isinstance(x, bool):
         return x
     if isinstance(x, (int, float)) or type(x).__name__ == "Decimal":
-        return round(float(x), 3) + 0.0
+        return float(x) + 0.0
     return str(x)
 
 
 def rows(columns, data):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
-    return sorted(([_value(r[i]) for i in order] for r in data), key=lambda r: [(v is None, str(type(v)), v if v is not None else 0) for v in r])
+    return sorted(([_value(r[i]) for i in order] for r in data), key=lambda r: [(v is None, str(type(v)), round(v, 4) if isinstance(v, float) else v if v is not None else 0) for v in r])
 
 
 def difference(df, con, sql: str) -> str | None:
@@ -44,6 +44,6 @@ def difference(df, con, sql: str) -> str | None:
     if len(a) != len(b):
         return f"{len(a)} rows and {len(b)}"
     for x, y in zip(a, b):
-        if any(p != q and not (isinstance(p, float) and isinstance(q, float) and abs(p - q) <= 2e-3 * max(1, abs(q))) for p, q in zip(x, y)):
+        if any(p != q and not (isinstance(p, float) and isinstance(q, float) and abs(p - q) <= 1e-6 * max(1, abs(q))) for p, q in zip(x, y)):
             return f"{x} and {y}"
     return None

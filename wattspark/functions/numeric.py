@@ -90,3 +90,13 @@ def tags_of(mask: Column, names: tuple[str, ...], first: Column | None = None) -
     if first is None:
         return each
     return F.when(F.array_contains(each, first), F.concat(F.array(first), F.array_remove(each, first))).otherwise(each)
+
+
+def decimal_round(x: Column, places: int, scale: int = 6) -> Column:
+    """Rounds an exact decimal of `scale` places, halves away from zero."""
+    return F.round(x.cast(f"decimal(24,{scale})"), places).cast("double")
+
+
+def fixed(x: Column, places: int, scale: int = 6) -> Column:
+    """The number as text with so many places."""
+    return F.round(x.cast(f"decimal(24,{scale})"), places).cast(f"decimal(24,{places})").cast("string")

@@ -12,7 +12,27 @@ from pyspark.sql import functions as F
 
 _COMPARE = {"=": lambda c, v: c == v, ">": lambda c, v: c > v, "<": lambda c, v: c < v, ">=": lambda c, v: c >= v, "<=": lambda c, v: c <= v}
 #: Names that a search may use for a column.
-ALIASES = {"power": "avg_power", "np": "avg_normalized_power", "distance": "total_distance", "ascent": "total_ascent", "time": "total_timer_time", "calories": "total_calories", "type": "workout_type"}
+# Fixed values.
+ALIASES = {
+    "id": "id",
+    "date": "start_time",
+    "start": "start_time",
+    "uploaded": "uploaded_at",
+    "distance": "total_distance",
+    "duration": "total_timer_time",
+    "alt": "total_ascent",
+    "altitude": "total_ascent",
+    "ascent": "total_ascent",
+    "power": "avg_power",
+    "hr": "avg_heart_rate",
+    "heartrate": "avg_heart_rate",
+    "np": "avg_normalized_power",
+    "cadence": "avg_cadence",
+    "cad": "avg_cadence",
+    "speed": "avg_speed",
+    "type": "workout_type",
+    "workout": "workout_type",
+}
 _SCOPED_NUMBER = re.compile(r"^\s*(\w+)\s*(<=|>=|=|<|>)\s*(-?\d+(?:\.\d+)?)\s*$")
 _SCOPED_TEXT = re.compile(r"^\s*(\w+)\s*:\s*(.+?)\s*$")
 

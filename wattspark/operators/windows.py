@@ -2,21 +2,67 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from math import ceil, floor
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattspark.functions.numeric import half_up
 
 
+SLICE_DAYS = 364
+
+
 def rolling_quantiles(rows: DataFrame, durations: tuple[int, ...], days: int = 84, quantile: float = 0.95) -> DataFrame:
     """For each workout (a row with power_<d> columns), quantile and number of its user's best powers of the last
-    `days`, itself included."""
-    frame = f"(PARTITION BY uid ORDER BY start_time RANGE BETWEEN INTERVAL {days} DAYS PRECEDING AND CURRENT ROW)"
-    columns = []
-    for d in durations:
-        columns.append(F.expr(f"percentile(CASE WHEN power_{d} > 0 THEN power_{d} END, {quantile}) OVER {frame}").alias(f"q_{d}"))
-        columns.append(F.expr(f"count(CASE WHEN power_{d} > 0 THEN 1 END) OVER {frame}").alias(f"n_{d}"))
-    return rows.select("uid", "wid", "start_time", *columns)
+    `days`, itself and others at the same moment included.
+
+    A user's history is dealt in slices of SLICE_DAYS, each with the `days` before it, so that a long one is many tasks;
+    within a slice one pass keeps the window's values sorted.
+    """
+    powers = [f"power_{d}" for d in durations]
+    day = F.unix_date(F.col("start_time").cast("date"))
+    own = F.floor(day / SLICE_DAYS)
+    reaches = F.floor((day + days) / SLICE_DAYS)  # the last slice that looks back to this day
+    placed = rows.select("uid", "wid", "start_time", *powers, own.alias("own"), F.explode(F.sequence(own, reaches)).alias("slice"))
+    placed = placed.select("uid", "slice", (F.col("own") == F.col("slice")).alias("here"), "wid", "start_time", F.unix_micros(F.col("start_time").cast("timestamp")).alias("at"), *powers)
+    span = days * 86_400_000_000
+
+    def pass_over(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["at", "wid"], kind="stable").reset_index(drop=True)
+        at, here = pdf["at"].to_numpy(), pdf["here"].to_numpy()
+        out = pdf.loc[here, ["uid", "wid", "start_time"]].copy()
+        upto = np.searchsorted(at, at, side="right")
+        begin = np.searchsorted(at, at - span, side="left")
+        for d in durations:
+            value = pdf[f"power_{d}"].to_numpy(float)
+            held, low, high, q, n = [], 0, 0, [], []
+            for i in np.nonzero(here)[0]:
+                for k in range(high, upto[i]):
+                    if value[k] > 0:
+                        insort(held, value[k])
+                high = max(high, upto[i])
+                for k in range(low, begin[i]):
+                    if value[k] > 0:
+                        del held[bisect_left(held, value[k])]
+                low = max(low, begin[i])
+                n.append(len(held))
+                if held:
+                    place = (len(held) - 1) * quantile
+                    a, b = floor(place), ceil(place)
+                    q.append(held[a] if a == b else (b - place) * held[a] + (place - a) * held[b])
+                else:
+                    q.append(None)
+            out[f"q_{d}"], out[f"n_{d}"] = pd.Series(q, index=out.index, dtype="float64"), pd.Series(n, index=out.index, dtype="int64")
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([f"uid {kinds['uid']}", f"wid {kinds['wid']}", f"start_time {kinds['start_time']}", *[f"q_{d} double, n_{d} long" for d in durations]])
+    names = ["uid", "wid", "start_time", *[x for d in durations for x in (f"q_{d}", f"n_{d}")]]
+    return placed.groupBy("uid", "slice").applyInPandas(lambda pdf: pass_over(pdf)[names], schema)
 
 
 def earlier_quantile(rows: DataFrame, column: str, days: int = 365, quantile: float = 0.95) -> DataFrame:
@@ -45,15 +91,20 @@ def normalized_power(samples: DataFrame, by: str = "workout_id") -> DataFrame:
     return smooth.groupBy(by).agg(half_up(F.pow(F.avg(fourth), F.lit(0.25))).alias("np"))
 
 
+def exact_mean(column: str, window) -> Column:
+    """The mean over a window with an exact sum (six decimals), which no order of adding changes."""
+    return F.sum(F.col(column).cast("decimal(18,6)")).over(window).cast("double") / F.count(column).over(window)
+
+
 def trailing_mean(column: str, size: int, by: str = "workout_id") -> Column:
     """Over the last `size` samples, fewer at the beginning."""
-    return F.avg(column).over(Window.partitionBy(by).orderBy("idx").rowsBetween(-(size - 1), 0))
+    return exact_mean(column, Window.partitionBy(by).orderBy("idx").rowsBetween(-(size - 1), 0))
 
 
 def centred_mean(column: str, size: int, by: str = "workout_id") -> Column:
     """Around the sample; an even size looks one further ahead than back."""
     back = (size - 1) // 2
-    return F.avg(column).over(Window.partitionBy(by).orderBy("idx").rowsBetween(-back, size - 1 - back))
+    return exact_mean(column, Window.partitionBy(by).orderBy("idx").rowsBetween(-back, size - 1 - back))
 
 
 def weighted_balance(balance: str, power: str, size: int, least: float = 50.0, by: str = "workout_id") -> Column:
@@ -92,14 +143,14 @@ def best_windows(samples: DataFrame, durations: tuple[int, ...], by: str = "work
     Sums of windows are differences of one running sum, so all durations share one sort of each series.
     """
     w = Window.partitionBy(by).orderBy("idx")
-    power = F.coalesce(F.col("power"), F.lit(0.0))
+    # exact sums of millionths, so that ties are ties
+    power = F.coalesce(F.col("power"), F.lit(0.0)).cast("decimal(18,6)")
     run = samples.select(by, "idx", F.sum(power).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     ends = run.select(by, "idx", "run", *[F.lag("run", d).over(w).alias(f"before_{d}") for d in durations])
-    sums = F.array(*[F.struct(F.lit(d).alias("duration"), F.when(F.col("idx") >= d - 1, F.col("run") - F.coalesce(F.col(f"before_{d}"), F.lit(0.0))).alias("total")) for d in durations])
+    sums = F.array(*[F.struct(F.lit(d).alias("duration"), F.when(F.col("idx") >= d - 1, F.col("run") - F.coalesce(F.col(f"before_{d}"), F.lit(0).cast("decimal(28,6)"))).alias("total")) for d in durations])
     each = ends.select(by, "idx", F.inline(sums)).filter("total IS NOT NULL")
-    # micro-watts as whole numbers, so that ties are ties
-    best = each.groupBy(by, "duration").agg(F.min_by(F.struct("idx", "total"), F.struct(-F.round("total", 6), F.col("idx"))).alias("best"))
-    return best.select(by, "duration", (F.col("best.idx") - F.col("duration") + 1).alias("start_offset"), F.col("best.idx").alias("end_offset"), (F.col("best.total") / F.col("duration")).alias("avg_power"))
+    best = each.groupBy(by, "duration").agg(F.min_by(F.struct("idx", "total"), F.struct(-F.col("total"), F.col("idx"))).alias("best"))
+    return best.select(by, "duration", (F.col("best.idx") - F.col("duration") + 1).alias("start_offset"), F.col("best.idx").alias("end_offset"), (F.col("best.total").cast("double") / F.col("duration")).alias("avg_power"))
 
 
 def bucket_means(samples: DataFrame, size: int = 15, by: str = "workout_id") -> DataFrame:

@@ -13,13 +13,20 @@ def insert_new(existing: DataFrame, incoming: DataFrame, keys: list[str], order:
 
 
 def overwrite(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows in place of existing ones with their key."""
+    """All incoming rows in place of existing ones with their key."""
     return existing.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(incoming)
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], when: Column | None = None) -> DataFrame:
-    """The latest row of each key, incoming over existing; with `when`, only those incoming rows that meet it replace."""
-    blocking = incoming if when is None else incoming.filter(when)
+def latest(rows: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """One row a key: the greatest by the columns `by`, or by all others in their order."""
+    by = by or [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*by, *keys)).alias("_row")).select("_row.*")
+
+
+def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], when: Column | None = None, by: list[str] | None = None) -> DataFrame:
+    """The latest row of each key, incoming over existing, of incoming ones with one key the greatest by the columns `by`;
+    with `when`, only those incoming rows that meet it replace, and all others are added."""
+    blocking = latest(incoming if when is None else incoming.filter(when), keys, by)
     return overwrite(existing, blocking, keys) if when is None else existing.join(blocking.select(*keys).distinct(), keys, "left_anti").unionByName(blocking).unionByName(incoming.filter(~when))
 
 

@@ -34,14 +34,8 @@ def joi06(spark, d):
     return joins.exists_or(analog.workouts(spark, d), F.col("uid") == 4, s, "id").select("id")
 
 
-@register("joi07_common_group", oracle("shares group_members", "SELECT DISTINCT workout_id, user_id FROM shares JOIN group_members USING (group_id) WHERE user_id % 50 = 0"))
+@register("joi07_common_group", oracle("shares group_members", "SELECT DISTINCT workout_id, user_id FROM shares JOIN group_members USING (group_id)"))
 def joi07(spark, d):
-    members = analog.group_members(spark, d).filter("user_id % 50 = 0")
-    return joins.shared_group_pairs(analog.shares(spark, d), members, "workout_id", "user_id")
-
-
-@register("joi07_common_group_whole", oracle("shares group_members", "SELECT DISTINCT workout_id, user_id FROM shares JOIN group_members USING (group_id)"))
-def joi07_whole(spark, d):
     return joins.shared_group_pairs(analog.shares(spark, d), analog.group_members(spark, d), "workout_id", "user_id")
 
 
@@ -144,14 +138,8 @@ def joi24(spark, d):
     return joins.box_join(w, g, 0.25, ["group_id"]).filter("a.uid <> b.uid").select(F.col("b.id").alias("segment_id"), F.col("a.uid").alias("uid")).distinct()
 
 
-@register("joi26_left_chain", oracle("workouts shares activities", "SELECT w.id, s.group_id, a.estimated_tss FROM workouts w LEFT JOIN shares s ON s.workout_id = w.id LEFT JOIN activities a ON a.id = w.id WHERE w.id % 5 = 0"))
+@register("joi26_left_chain", oracle("workouts shares activities", "SELECT w.id, s.group_id, a.estimated_tss FROM workouts w LEFT JOIN shares s ON s.workout_id = w.id LEFT JOIN activities a ON a.id = w.id"))
 def joi26(spark, d):
-    w = analog.workouts(spark, d).filter("id % 5 = 0").select("id")
-    return w.join(analog.shares(spark, d).withColumnRenamed("workout_id", "id"), "id", "left").join(analog.activities(spark, d).select("id", "estimated_tss"), "id", "left").select("id", "group_id", "estimated_tss")
-
-
-@register("joi26_left_chain_whole", oracle("workouts shares activities", "SELECT w.id, s.group_id, a.estimated_tss FROM workouts w LEFT JOIN shares s ON s.workout_id = w.id LEFT JOIN activities a ON a.id = w.id"))
-def joi26_whole(spark, d):
     w = analog.workouts(spark, d).select("id")
     return w.join(analog.shares(spark, d).withColumnRenamed("workout_id", "id"), "id", "left").join(analog.activities(spark, d).select("id", "estimated_tss"), "id", "left").select("id", "group_id", "estimated_tss")
 

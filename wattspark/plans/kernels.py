@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from wattspark import analog
 from wattspark.analog import oracle
-from wattspark.functions.numeric import FTP_DURATIONS
+from wattspark.functions.numeric import BEST_EFFORT_DURATIONS, FTP_DURATIONS
 from wattspark.operators import aggregates, classify, grouped, intensity, joins, kernels, windows
+from wattspark.plans.series import best_windows_sql
 from wattspark.registry import register
 
 
@@ -28,12 +29,9 @@ def krn04(spark, d):
     return grouped.cleaned_power(analog.samples(spark, d).withColumn("power", F.col("power") * 4))
 
 
-@register(
-    "krn09_critical_power",
-    oracle("samples", "SELECT workout_id, d AS duration, s AS start_offset, s + d - 1 AS end_offset, round(t / d, 4) AS avg_power FROM (SELECT *, row_number() OVER (PARTITION BY workout_id, d ORDER BY round(t, 6) DESC, s) AS rn FROM (SELECT workout_id, d, idx AS s, sum(power) OVER w15 AS t, count(*) OVER w15 AS n FROM samples, (SELECT 15 AS d) WINDOW w15 AS (PARTITION BY workout_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING)) WHERE n = d) WHERE rn = 1"),
-)
+@register("krn09_critical_power", oracle("samples", best_windows_sql(BEST_EFFORT_DURATIONS)))
 def krn09(spark, d):
-    return grouped.critical_power(analog.samples(spark, d), durations=(15,)).withColumn("avg_power", F.round("avg_power", 4))
+    return grouped.critical_power(analog.samples(spark, d))
 
 
 @register("krn15_terrain")

@@ -39,15 +39,8 @@ def agg21(spark, d):
     return analog.workouts(spark, d).filter("year = 1997").groupBy("uid", F.col("year_week").alias("week")).agg(F.to_json(F.array_sort(F.collect_list(one))).alias("sessions"))
 
 
-@register("agg23_owner_groups", oracle("workouts shares", "SELECT id, CASE WHEN uid = 7 THEN coalesce('[' || (SELECT string_agg(group_id::VARCHAR, ',' ORDER BY group_id) FROM shares s WHERE s.workout_id = w.id) || ']', '[]') END AS groups FROM workouts w WHERE id % 4 = 0"))
+@register("agg23_owner_groups", oracle("workouts shares", "SELECT id, CASE WHEN uid = 7 THEN coalesce('[' || (SELECT string_agg(group_id::VARCHAR, ',' ORDER BY group_id) FROM shares s WHERE s.workout_id = w.id) || ']', '[]') END AS groups FROM workouts w"))
 def agg23(spark, d):
-    g = analog.shares(spark, d).groupBy(F.col("workout_id").alias("id")).agg(F.array_sort(F.collect_set("group_id")).alias("g"))
-    w = analog.workouts(spark, d).filter("id % 4 = 0").join(g, "id", "left")
-    return w.select("id", F.when(F.col("uid") == 7, F.to_json(F.coalesce("g", F.array().cast("array<bigint>")))).alias("groups"))
-
-
-@register("agg23_owner_groups_whole", oracle("workouts shares", "SELECT id, CASE WHEN uid = 7 THEN coalesce('[' || (SELECT string_agg(group_id::VARCHAR, ',' ORDER BY group_id) FROM shares s WHERE s.workout_id = w.id) || ']', '[]') END AS groups FROM workouts w"))
-def agg23_whole(spark, d):
     g = analog.shares(spark, d).groupBy(F.col("workout_id").alias("id")).agg(F.array_sort(F.collect_set("group_id")).alias("g"))
     w = analog.workouts(spark, d).join(g, "id", "left")
     return w.select("id", F.when(F.col("uid") == 7, F.to_json(F.coalesce("g", F.array().cast("array<bigint>")))).alias("groups"))
@@ -167,9 +160,9 @@ def krn24(spark, d):
     return s.withColumn("g", g).withColumn("n", n).select("event_id", F.when(~(F.col("z") & (F.col("n") <= 3)), F.col("v")).alias("v"))
 
 
-@register("srt12_resolution", oracle("samples", "SELECT event_id, round(m, 4) AS power FROM (SELECT *, avg(power) OVER (PARTITION BY workout_id ORDER BY idx ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS m FROM samples) WHERE idx % 15 = 0"))
+@register("srt12_resolution", oracle("samples", "SELECT event_id, m AS power FROM (SELECT *, CAST(sum(CAST(power AS DECIMAL(18,6))) OVER w AS DOUBLE) / count(power) OVER w AS m FROM samples WINDOW w AS (PARTITION BY workout_id ORDER BY idx ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING)) WHERE idx % 15 = 0"))
 def srt12(spark, d):
-    return analog.samples(spark, d).withColumn("m", windows.centred_mean("power", 15)).filter("idx % 15 = 0").select("event_id", F.round("m", 4).alias("power"))
+    return analog.samples(spark, d).withColumn("m", windows.centred_mean("power", 15)).filter("idx % 15 = 0").select("event_id", F.col("m").alias("power"))
 
 
 @register("win15_range_average", oracle("samples", "SELECT workout_id, round(avg(power), 4) AS mean FROM samples WHERE idx >= 20 AND idx < 50 GROUP BY workout_id"))

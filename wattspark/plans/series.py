@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wattspark import analog
 from wattspark.analog import oracle
+from wattspark.functions.numeric import BEST_EFFORT_DURATIONS
 from wattspark.operators import aggregates, windows
 from wattspark.registry import register
 
@@ -20,8 +21,8 @@ for _name, _column, _frame in (
     ("win09_centred_mean", lambda: windows.centred_mean("power", 6), "ROWS BETWEEN 2 PRECEDING AND 3 FOLLOWING"),
     ("win11_symmetric_mean", lambda: windows.centred_mean("power", 31), "ROWS BETWEEN 15 PRECEDING AND 15 FOLLOWING"),
 ):
-    register(_name, oracle("samples", f"SELECT event_id, round(avg(power) OVER (PARTITION BY workout_id ORDER BY idx {_frame}), 4) AS smooth FROM samples"))(
-        lambda spark, d, column=_column: analog.samples(spark, d).select("event_id", F.round(column(), 4).alias("smooth"))
+    register(_name, oracle("samples", f"SELECT event_id, CAST(sum(CAST(power AS DECIMAL(18,6))) OVER w AS DOUBLE) / count(power) OVER w AS smooth FROM samples WINDOW w AS (PARTITION BY workout_id ORDER BY idx {_frame})"))(
+        lambda spark, d, column=_column: analog.samples(spark, d).select("event_id", column().alias("smooth"))
     )
 
 
@@ -31,9 +32,16 @@ def win10(spark, d):
     return s.select("event_id", F.round(windows.weighted_balance("b", "power", 5), 4).alias("balance"))
 
 
-@register("win12_best_windows", oracle("samples", "SELECT workout_id, d AS duration, s AS start_offset, s + d - 1 AS end_offset, round(t / d, 4) AS avg_power FROM (SELECT *, row_number() OVER (PARTITION BY workout_id, d ORDER BY round(t, 6) DESC, s) AS rn FROM (SELECT workout_id, d, idx AS s, sum(power) OVER (PARTITION BY workout_id, d ORDER BY idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS t, count(*) OVER (PARTITION BY workout_id, d ORDER BY idx ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS n FROM samples, (SELECT 5 AS d)) WHERE n = d) WHERE rn = 1"))
+def best_windows_sql(durations: tuple[int, ...]) -> str:
+    """The oracle's SQL: one branch a duration, exact sums."""
+    one = "SELECT workout_id, CAST({d} AS INTEGER) AS d, idx AS s, sum(CAST(power AS DECIMAL(18,6))) OVER w AS t, count(*) OVER w AS n FROM samples WINDOW w AS (PARTITION BY workout_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND {last} FOLLOWING)"
+    every = " UNION ALL ".join(one.format(d=d, last=d - 1) for d in durations)
+    return f"SELECT workout_id, d AS duration, s AS start_offset, s + d - 1 AS end_offset, CAST(t AS DOUBLE) / d AS avg_power FROM (SELECT *, row_number() OVER (PARTITION BY workout_id, d ORDER BY t DESC, s) AS rn FROM ({every}) WHERE n = d) WHERE rn = 1"
+
+
+@register("win12_best_windows", oracle("samples", best_windows_sql(BEST_EFFORT_DURATIONS)))
 def win12(spark, d):
-    return windows.best_windows(analog.samples(spark, d), (5,)).withColumn("avg_power", F.round("avg_power", 4))
+    return windows.best_windows(analog.samples(spark, d), BEST_EFFORT_DURATIONS)
 
 
 @register("win14_prefix_sum", oracle("samples", "SELECT event_id, round(sum(power) OVER (PARTITION BY workout_id ORDER BY idx ROWS UNBOUNDED PRECEDING), 4) AS total FROM samples"))
@@ -85,14 +93,15 @@ def snk21(spark, d):
     return h.select("workout_id", F.array_join(F.transform(F.map_entries("bins"), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("bins"))
 
 
-@register("agg32_record_range", oracle("samples", "SELECT workout_id, max(power) AS top, round(avg(power), 4) AS mean, round(sum(CASE WHEN c > 0 THEN c ELSE 0 END), 4) AS up, round(sum(CASE WHEN c < 0 THEN -c ELSE 0 END), 4) AS down FROM (SELECT *, power - lag(power) OVER (PARTITION BY workout_id ORDER BY idx) AS c FROM samples) WHERE idx BETWEEN 10 AND 49 GROUP BY workout_id"))
+@register("agg32_record_range", oracle("samples", "SELECT workout_id, max(power) AS top, CAST(sum(CAST(power AS DECIMAL(18,6))) AS DOUBLE) / count(power) AS mean, CAST(sum(CASE WHEN c > 0 THEN c ELSE 0 END) AS DOUBLE) AS up, CAST(sum(CASE WHEN c < 0 THEN -c ELSE 0 END) AS DOUBLE) AS down FROM (SELECT *, CAST(power AS DECIMAL(18,6)) - lag(CAST(power AS DECIMAL(18,6))) OVER (PARTITION BY workout_id ORDER BY idx) AS c FROM samples) WHERE idx BETWEEN 10 AND 49 GROUP BY workout_id"))
 def agg32(spark, d):
     from pyspark.sql import Window
 
-    c = F.col("power") - F.lag("power").over(Window.partitionBy("workout_id").orderBy("idx"))
+    exact = F.col("power").cast("decimal(18,6)")
+    c = exact - F.lag(exact).over(Window.partitionBy("workout_id").orderBy("idx"))
     s = analog.samples(spark, d).withColumn("c", c).filter(F.col("idx").between(10, 49))
-    gain = lambda x: F.round(F.sum(F.greatest(F.lit(0.0), F.coalesce(x, F.lit(0.0)))), 4)
-    return s.groupBy("workout_id").agg(F.max("power").alias("top"), F.round(F.avg("power"), 4).alias("mean"), gain(F.col("c")).alias("up"), gain(-F.col("c")).alias("down"))
+    gain = lambda x: F.sum(F.when(x > 0, x).otherwise(F.lit(0).cast("decimal(19,6)"))).cast("double")
+    return s.groupBy("workout_id").agg(F.max("power").alias("top"), (F.sum(exact).cast("double") / F.count("power")).alias("mean"), gain(F.col("c")).alias("up"), gain(-F.col("c")).alias("down"))
 
 
 @register("fnm21_variation", oracle("samples", "SELECT workout_id, round(stddev_pop(power) / avg(power), 4) AS cov FROM samples GROUP BY workout_id"))

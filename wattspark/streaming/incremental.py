@@ -25,9 +25,10 @@ def affected_windows(arrivals: DataFrame, by: list[str], time: str, days: int =
 def with_history(rows: DataFrame, windows: DataFrame, by: list[str], time: str, days: int = 365) -> DataFrame:
     """The rows needed to recompute the windows: theirs and those of `days` before; `touched` marks theirs."""
     w = windows.select(*by, "start", "end")
-    joined = rows.join(w, by).filter((F.col(time) >= F.col("start") - F.expr(f"INTERVAL {days} DAYS")) & (F.col(time) <= F.col("end")))
+    joined = rows.withColumn("_row", F.monotonically_increasing_id()).join(w, by).filter((F.col(time) >= F.col("start") - F.expr(f"INTERVAL {days} DAYS")) & (F.col(time) <= F.col("end")))
     marked = joined.withColumn("touched", F.col(time) >= F.col("start")).drop("start", "end")
-    return marked.groupBy(*rows.columns).agg(F.max("touched").alias("touched"))
+    # a row that several windows need comes once; equal rows stay apart
+    return marked.groupBy("_row", *rows.columns).agg(F.max("touched").alias("touched")).drop("_row")
 
 
 def changed(before: DataFrame, after: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
