@@ -89,7 +89,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], counts: dict[str,
         by = Compressors(ordered)
         for batch in texts:
             langs, scores, rejected = [], [], []
-            for text, letter in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, letter in zip(batch.column(0).field(at).to_pylist(), batch.column(1).to_pylist()):
                 if not letter or not order:
                     langs.append(UNDETERMINED), scores.append(0.0), rejected.append(not letter)
                     continue
@@ -103,6 +103,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], counts: dict[str,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["row", "lang_pred", "score", "rejected"])
 
     rest = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    row = docs.select(F.struct(*rest).alias("row"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    at = rest.index(text_col)
+    row = docs.select(F.struct(*rest).alias("row"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     schema = row.select("row").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
     return row.mapInArrow(predict, schema).select("row.*", "lang_pred", "score", "rejected")

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ HEAD_WORDS = 1 << 18
 #: Longer words don't fit a lattice of 62 cuts in one number; they are merged in the task that meets them.
 LONGEST_WORD = 61
 #: Rare words that a task keeps.
-MOST_KEPT = 1 << 19
+MOST_KEPT = 1 << 17
 _FLUSH = 1 << 20
 
 
@@ -202,18 +202,18 @@ def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class _Encoder(dict):
-    """Words with their ids as bytes; a word that is not there is merged here and kept for a while."""
+    """Words of the list with their ids as bytes; another word is merged here and kept for a while, apart from them."""
 
-    def __init__(self, pieces: Pieces, head: dict[str, bytes]):
+    def __init__(self, pieces: Pieces, head: Iterable[tuple[str, bytes]]):
         super().__init__(head)
-        self.pieces, self.most = pieces, len(head) + MOST_KEPT
-        self.head = head
+        self.pieces, self.rare = pieces, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-            self.update(self.head)
-        found = self[word] = np.array(self.pieces.merged(word), np.int32).tobytes()
+        found = self.rare.get(word)
+        if found is None:
+            if len(self.rare) >= MOST_KEPT:
+                self.rare.clear()
+            found = self.rare[word] = np.array(self.pieces.merged(word), np.int32).tobytes()
         return found
 
 
@@ -227,7 +227,7 @@ def _encoder(model: str, pieces: Pieces, head: pa.Table) -> _Encoder:
         flat = ids.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
         at = ids.offsets.to_numpy().astype(np.int64) * 4
         _encoders.clear()
-        _encoders[model] = _Encoder(pieces, {w: flat[a:b] for w, a, b in zip(head.column("word").to_pylist(), at[:-1].tolist(), at[1:].tolist())})
+        _encoders[model] = _Encoder(pieces, ((w, flat[a:b]) for w, a, b in zip(head.column("word").to_pylist(), at[:-1].tolist(), at[1:].tolist())))
     return _encoders[model]
 
 
