@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,6 +90,25 @@ def chosen_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str,
     return out.unionByName(hit.filter(k_single).groupBy(k_id, k_mark).agg(row.alias("row")).select("row.*"))
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept_by_worker(key: tuple, build):
+    """What `build` gives, kept by this Python worker for its next tasks; it keeps one such thing at a time."""
+    if key not in _kept:
+        released_by_worker()
+        _kept[key] = build()
+    return _kept[key]
+
+
+def released_by_worker() -> None:
+    """Drops what an earlier operator has this worker keep, and gives the memory back."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattspark.llm.common import chosen_rows, forget, parallelism, settle, written
+from wattspark.llm.common import chosen_rows, forget, parallelism, released_by_worker, settle, written
 from wattspark.llm.components import components
 from wattspark.llm.shingles import mixed, sets_of, signature
 
@@ -144,6 +144,7 @@ def _outlines(rows: DataFrame) -> DataFrame:
     names = ["id", "mark", "n", "sig", "point", "chunk", "counts"]
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released_by_worker()
         counts = np.zeros(ORDER_SLOTS, np.uint32)
         seen = False
         for batch in batches:
@@ -195,7 +196,7 @@ def prefix(shingles: np.ndarray, classes: np.ndarray, link: tuple[int, int] = LI
 
 
 #: Prefix rows that a task gathers before it combines and passes them on.
-_GATHER = 1 << 21
+_GATHER = 1 << 20
 
 
 #: Documents with one shingle in their prefixes, and sizes that can link, up to which each pair is looked at on its own.
@@ -303,6 +304,7 @@ def _shared_prefixes(rows: DataFrame, order, link: tuple[int, int]) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array((ties[:, 1] % buckets).astype(np.int32)), pa.nulls(len(ties), pa.binary()), pa.array(ties[:, 0]), pa.array(ties[:, 1])], names)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released_by_worker()
         classes, seen = order.value, set()
         held: list[list[np.ndarray]] = [[], [], [], []]
         size = 0

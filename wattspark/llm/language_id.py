@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattspark.llm.common import released_by_worker
+
 #: The bounded sample that a language's dictionary is fitted on: so many whole documents, so many bytes in all.
 SAMPLE_DOCS = 64
 SAMPLE_BYTES = 1 << 17
@@ -86,6 +88,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], counts: dict[str,
     ordered = {x: dictionaries[x] for x in order}
 
     def predict(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released_by_worker()
         by = Compressors(ordered)
         for batch in texts:
             langs, scores, rejected = [], [], []

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattspark.llm.common import most_frequent, written
+from wattspark.llm.common import kept_by_worker, most_frequent, written
 
 MARK = "▁"
 #: Words encoded by the relational lattice and sent to all tasks: a list of fixed size.
@@ -217,18 +217,12 @@ class _Encoder(dict):
         return found
 
 
-_encoders: dict[str, _Encoder] = {}
-
-
 def _encoder(model: str, pieces: Pieces, head: pa.Table) -> _Encoder:
-    """The encoder of this worker, which runs many tasks; any words it has kept are right for the model."""
-    if model not in _encoders:
-        ids = head.column("ids").combine_chunks()
-        flat = ids.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
-        at = ids.offsets.to_numpy().astype(np.int64) * 4
-        _encoders.clear()
-        _encoders[model] = _Encoder(pieces, ((w, flat[a:b]) for w, a, b in zip(head.column("word").to_pylist(), at[:-1].tolist(), at[1:].tolist())))
-    return _encoders[model]
+    """The encoder of a worker; any words it has kept are right for the model."""
+    ids = head.column("ids").combine_chunks()
+    flat = ids.values.to_numpy(zero_copy_only=False).astype(np.int32).tobytes()
+    at = (ids.offsets.to_numpy().astype(np.int64) * 4).tolist()
+    return _Encoder(pieces, ((w, flat[a:b]) for w, a, b in zip(head.column("word").to_pylist(), at[:-1], at[1:])))
 
 
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD_WORDS) -> DataFrame:
@@ -246,7 +240,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     shared = spark.sparkContext.broadcast((model, pieces, encoded_words(spread, pieces).toArrow().combine_chunks()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = _encoder(*shared.value)
+        by = kept_by_worker(("pieces", model), lambda: _encoder(*shared.value))
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 some = batch.slice(i, 256)

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattspark.llm.common import kept_by_worker
+
 #: Transitions, states' entries and words that a worker keeps of each; beyond them it starts anew. Bounds on memory, not on what is counted.
 MOST_ARCS = 1 << 20
 #: Bytes of a chunk of a text.
@@ -244,16 +246,6 @@ class Transducer:
         return (self.word_count(first) if first else 0) + (between or 0) + (self.word_count(last) if last else 0)
 
 
-_compiled: dict[str, Transducer] = {}
-
-
-def transducer(tokenizer: str) -> Transducer:
-    """The transducer of this worker, which runs many tasks."""
-    if tokenizer not in _compiled:
-        _compiled[tokenizer] = Transducer(Grammar(tokenizer))
-    return _compiled[tokenizer]
-
-
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of `docs`: id, n_bytes, n_tokens, over_limit.
 
@@ -265,7 +257,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     schema = "id long, n_bytes long, n_tokens long"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = transducer(tokenizer)
+        by = kept_by_worker(("tokens", tokenizer), lambda: Transducer(Grammar(tokenizer)))
         for batch in batches:
             texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(map(by.count, texts), pa.int64())], ["id", "n_bytes", "n_tokens"])
