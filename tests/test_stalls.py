@@ -2,7 +2,7 @@
 
 import math
 
-from wattspark.operators import stalls
+from wattspark.operators import classify, stalls
 
 
 def test_stalls_and_hills(spark):
@@ -35,3 +35,19 @@ def test_only_corrupt_ends_go(spark):
     s = spark.createDataFrame(rows, "workout_id long, idx long, power double, cadence double, heart_rate double, speed double")
     left = {r.workout_id: r["count"] for r in stalls.tail_trimmed(s).groupBy("workout_id").count().collect()}
     assert left == {1: 30, 2: 42, 3: 42, 4: 45, 5: 40, 6: 20, 7: 20}
+
+
+def test_the_type_of_a_ride_without_gps_follows_from_its_samples(spark):
+    rows, at = [], 0
+    for i in range(29 * 60 + 1):  # 25 minutes up, 4 down
+        up = i <= 25 * 60
+        at += 0 if i == 0 else 8 if up else 20
+        rows.append((1, i, at, 250.0 if up else 60.0, 80))
+    s = spark.createDataFrame(rows, "workout_id long, idx long, distance long, power double, cadence int")
+    same = (False, 0, 20_000.0, 1800.0, 500.0, 15.0, 60.0, 200.0, 80.0, 0.0)
+    names = "valid_gps boolean, span_metres int, total_distance double, total_timer_time double, total_ascent double, avg_speed double, max_speed double, avg_power double, avg_cadence double, gps_path_metres double"
+    w = spark.createDataFrame([(1, *same), (2, *same)], f"id long, {names}")
+    found = stalls.with_type_figures(w, s).withColumn("kind", classify.workout_type())
+    got = {r.id: r for r in found.collect()}
+    assert (got[1].climb_minutes, got[1].descent_minutes, got[1].climb_first) == (25, 4, True)
+    assert got[1].kind == "road" and got[2].climb_minutes is None and got[2].kind == "mountain"

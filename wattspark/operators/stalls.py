@@ -16,6 +16,21 @@ DESCENT_KMH, DESCENT_POWER = 30, 120
 #: A corrupt end: shortest recording, zeros at its end, seconds looked back, seconds of the baseline, least length, least samples.
 TAIL_RECORDS, TAIL_ZEROS, TAIL_SEARCH, TAIL_BASELINE, TAIL_LENGTH, TAIL_SAMPLES = 16, 3, 24, 6, 10, 5
 
+#: The figures by which a workout's type is told, as `classify.workout_type` names them.
+TYPE_FIGURES = {
+    "distance_active_ratio": "distance_active_ratio",
+    "step_dominance_ratio": "step_dominance_ratio",
+    "speed_variation": "speed_variation",
+    "stall_active_ratio": "stall_ratio",
+    "longest_stall_seconds": "longest_stall_seconds",
+    "moving_speed_kmh": "moving_speed",
+    "road_climb_minutes": "climb_minutes",
+    "longest_road_climb_minutes": "longest_climb",
+    "road_descent_minutes": "descent_minutes",
+    "longest_road_descent_minutes": "longest_descent",
+    "climb_before_descent": "climb_first",
+}
+
 
 def _yes(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
@@ -91,6 +106,12 @@ def stall_metrics(samples: DataFrame, by: str = "workout_id") -> DataFrame:
     )
 
 
+def with_type_figures(workouts: DataFrame, samples: DataFrame, key: str = "id", by: str = "workout_id") -> DataFrame:
+    """Workouts with the figures of their recordings that `classify.workout_type` reads; null without a recording."""
+    figures = stall_metrics(samples, by).select(F.col(by).alias(key), *[F.col(a).alias(b) for a, b in TYPE_FIGURES.items()])
+    return workouts.join(figures, key, "left")
+
+
 def tail_trimmed(samples: DataFrame, by: str = "workout_id") -> DataFrame:
     """Samples (by, idx, power, cadence, heart_rate, speed) without a corrupt end.
 

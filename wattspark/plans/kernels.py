@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from wattspark import analog
 from wattspark.analog import oracle
 from wattspark.functions.numeric import BEST_EFFORT_DURATIONS, FTP_DURATIONS
-from wattspark.operators import aggregates, classify, grouped, intensity, joins, kernels, windows
+from wattspark.operators import aggregates, classify, grouped, intensity, joins, kernels, stalls, windows
 from wattspark.plans.series import best_windows_sql
+from wattspark.plans.stalls import ridden_samples
 from wattspark.registry import register
 
 
@@ -54,15 +55,8 @@ def krn16(spark, d):
         F.when(F.col("id") % 4 != 0, F.col("avg_power")).alias("avg_power"),
         F.lit(0).alias("avg_cadence"),
         (F.col("total_distance") / 40).alias("gps_path_metres"),
-        *[F.lit(0).alias(c) for c in ("climb_minutes", "longest_climb", "descent_minutes", "longest_descent")],
-        F.lit(False).alias("climb_first"),
-        (F.col("id") % 11 / 10).alias("distance_active_ratio"),
-        (F.col("id") % 13 / 12).alias("step_dominance_ratio"),
-        (F.col("id") % 17 / 16).alias("speed_variation"),
-        (F.col("id") % 5 / 10).alias("stall_ratio"),
-        (F.col("id") % 120).alias("longest_stall_seconds"),
-        (F.col("id") % 40).alias("moving_speed"),
     )
+    w = stalls.with_type_figures(w, ridden_samples(spark, d))
     return w.select("id", classify.workout_type().alias("kind"))
 
 

@@ -10,6 +10,15 @@ from wattspark.analog import oracle
 from wattspark.operators import stalls
 from wattspark.registry import register
 
+
+def ridden_samples(spark, d):
+    """Samples with distance in half metres, gaps in it, and cadence."""
+    even, event = F.col("workout_id") % 2 == 0, F.col("event_id")
+    ridden = F.sum((event % 3) * F.when(even, 8).otherwise(20)).over(Window.partitionBy("workout_id").orderBy("idx"))
+    power = (F.col("power") * F.when(even, 4).otherwise(1)).alias("power")
+    return analog.samples(spark, d).select("workout_id", "idx", power, (event % 80).alias("cadence"), F.when(event % 17 != 0, ridden).alias("distance"))
+
+
 _STALLED = """ridden AS (SELECT workout_id, idx, power * CASE WHEN workout_id % 2 = 0 THEN 4 ELSE 1 END AS power, event_id % 80 AS cadence,
     CASE WHEN event_id % 17 <> 0 THEN sum((event_id % 3) * CASE WHEN workout_id % 2 = 0 THEN 8 ELSE 20 END) OVER (PARTITION BY workout_id ORDER BY idx) END AS distance FROM samples),
     stepped AS (SELECT *, CAST(distance - lag(distance) OVER (PARTITION BY workout_id ORDER BY idx) AS BIGINT) AS step FROM ridden),
@@ -30,10 +39,7 @@ _STALLED = """ridden AS (SELECT workout_id, idx, power * CASE WHEN workout_id %
     CAST(coalesce(most_up, 0) AS BIGINT) AS longest_road_climb_minutes, CAST(coalesce(down, 0) AS BIGINT) AS road_descent_minutes, CAST(coalesce(most_down, 0) AS BIGINT) AS longest_road_descent_minutes, coalesce(before, false) AS climb_before_descent
     FROM totals t LEFT JOIN longest l USING (workout_id) LEFT JOIN common c USING (workout_id) LEFT JOIN minutes USING (workout_id)""", _STALLED))
 def krn17(spark, d):
-    even, event = F.col("workout_id") % 2 == 0, F.col("event_id")
-    ridden = F.sum((event % 3) * F.when(even, 8).otherwise(20)).over(Window.partitionBy("workout_id").orderBy("idx"))
-    s = analog.samples(spark, d).select("workout_id", "idx", (F.col("power") * F.when(even, 4).otherwise(1)).alias("power"), (event % 80).alias("cadence"), F.when(event % 17 != 0, ridden).alias("distance"))
-    return stalls.stall_metrics(s)
+    return stalls.stall_metrics(ridden_samples(spark, d))
 
 
 @register("krn08_tail_trimmed", oracle("samples", "SELECT workout_id, idx FROM (SELECT *, count(*) OVER (PARTITION BY workout_id) AS n FROM samples) WHERE idx < n - 20 OR workout_id % 2 = 1"))
