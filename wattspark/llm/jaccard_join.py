@@ -30,7 +30,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattspark.llm.common import chosen_rows, forget, parallelism, released_by_worker, settle, written
+from wattspark.llm.common import chosen_rows, forget, give_back, parallelism, released_by_worker, settle, tidy, written
 from wattspark.llm.components import components
 from wattspark.llm.shingles import mixed, sets_of, signature
 
@@ -164,7 +164,7 @@ def _outlines(rows: DataFrame) -> DataFrame:
             small = np.minimum(counts, 0xFF).astype(np.uint8).reshape(parts, _CHUNK)  # rare and common stay apart
             yield pa.RecordBatch.from_arrays([*[pa.nulls(parts, pa.int64())] * 4, pa.nulls(parts, pa.binary()), pa.array(range(parts), pa.int32()), pa.array([c.tobytes() for c in small], pa.binary())], names)
 
-    return rows.select("id", "text", "mark").mapInArrow(outline, "id long, mark long, n long, sig long, point binary, chunk int, counts binary")
+    return rows.select("id", "text", "mark").mapInArrow(tidy(outline), "id long, mark long, n long, sig long, point binary, chunk int, counts binary")
 
 
 def _order_table(counted: DataFrame) -> np.ndarray:
@@ -180,7 +180,7 @@ def _order_table(counted: DataFrame) -> np.ndarray:
             classes = [np.round(4 * np.log2(1 + t)).clip(0, 255).astype(np.uint8).tobytes() for t in totals.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(classes, pa.binary())], ["chunk", "classes"])
 
-    parts = counted.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(summed, "chunk int, classes binary").collect()
+    parts = counted.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(tidy(summed), "chunk int, classes binary").collect()
     table = np.zeros(ORDER_SLOTS, np.uint8)
     for r in parts:
         table[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(bytes(r["classes"]), np.uint8)
@@ -351,8 +351,8 @@ def _shared_prefixes(rows: DataFrame, order, link: tuple[int, int]) -> DataFrame
         if held:
             yield met()
 
-    sent = rows.select("text").mapInArrow(emit, "bucket int, packed binary, a long, b long")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, tied boolean").distinct()
+    sent = rows.select("text").mapInArrow(tidy(emit), "bucket int, packed binary, a long, b long")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidy(meet), "a long, b long, tied boolean").distinct()
 
 
 def _possible(pairs: DataFrame, reps: DataFrame, link: tuple[int, int]) -> DataFrame:
@@ -368,7 +368,7 @@ def _possible(pairs: DataFrame, reps: DataFrame, link: tuple[int, int]) -> DataF
     point = lambda x: reps.select(F.col("node").alias(f"node_{x}"), F.col("sig").alias(f"sig_{x}"), F.col("n").alias(f"n_{x}"), F.col("point").alias(f"p_{x}"))
     both = pairs.filter(~F.col("tied")).join(point("a"), F.col("a") == F.col("node_a")).join(point("b"), F.col("b") == F.col("node_b"))
     loose = both.select(F.col("sig_a").alias("a"), F.col("sig_b").alias("b"), "n_a", "n_b", "p_a", "p_b")
-    return loose.mapInArrow(prune, "a long, b long")
+    return loose.mapInArrow(tidy(prune), "a long, b long")
 
 
 def _payload(raw: list[bytes], exact: bool) -> list[np.ndarray]:
@@ -376,6 +376,10 @@ def _payload(raw: list[bytes], exact: bool) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) if exact else np.frombuffer(x, np.uint8).astype(np.int64) for x in raw]
 
 
+#: Bytes of a group's sets or points from which on a task gives its memory back after the group.
+_LARGE = 1 << 23
+
+
 def _within(exact: bool, chunked: bool, link: tuple[int, int]):
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["sig", "home"], ascending=[True, False], kind="stable").drop_duplicates("sig")
@@ -387,7 +391,12 @@ def _within(exact: bool, chunked: bool, link: tuple[int, int]):
         else:
             points = np.stack([count_vector(s, groups_for(int(sizes.max()))) for s in data]) if exact else folded(data)
             found = spanning_links(points, sizes, data if exact else None, rest, None if home.all() else home, link)
-        return pd.DataFrame({"a": [sig[x] for x, _ in found], "b": [sig[y] for _, y in found]}, dtype="int64")
+        taken = sum(map(len, pdf["payload"]))
+        out = pd.DataFrame({"a": [sig[x] for x, _ in found], "b": [sig[y] for _, y in found]}, dtype="int64")
+        if taken > _LARGE:
+            del pdf, data
+            give_back()
+        return out
 
     return join
 
@@ -421,7 +430,7 @@ def _linked(members: DataFrame, places: DataFrame, exact: bool, link: tuple[int,
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], batch.column(6), pa.array(linked)], [*keys, "sig", "n", "home", "payload", "pivot", "linked"])
 
     joined = big.join(pivots, keys).select(*keys, "sig", "n", "home", "payload", "pivot", "pivot_n", "pivot_payload")
-    held = written(joined.mapInArrow(hold, "cluster long, band int, sig long, n long, home boolean, payload binary, pivot long, linked boolean"), f"{tag}-held")
+    held = written(joined.mapInArrow(tidy(hold), "cluster long, band int, sig long, n long, home boolean, payload binary, pivot long, linked boolean"), f"{tag}-held")
     out.append(written(held.filter("linked AND sig <> pivot").select(F.col("sig").alias("a"), F.col("pivot").alias("b")), tag))
     rest = held.filter("NOT linked").groupBy(*keys).agg(F.count(F.lit(1)).alias("others"))
     counts = written(large.select(*keys, "members").join(rest, keys).select(*keys, *[F.ceil(F.col(c) / MOST_IN_TASK).cast("int").alias(c) for c in ("members", "others")]), f"{tag}-rest")
@@ -486,7 +495,7 @@ def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
     keyed = rows.filter("id IS NOT NULL").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(size)).alias("at"))
     few = ids.count() <= MOST_BROADCAST  # else a join by shuffle
-    return keyed.mapInArrow(fill, "id long, sig long, payload binary").join(F.broadcast(ids) if few else ids, ["id", "sig"])
+    return keyed.mapInArrow(tidy(fill), "id long, sig long, payload binary").join(F.broadcast(ids) if few else ids, ["id", "sig"])
 
 
 def linked_signatures(rows: DataFrame, outlines: DataFrame, order: np.ndarray, link: tuple[int, int] = LINK) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattspark.llm.common import released_by_worker
+from wattspark.llm.common import released_by_worker, tidy
 
 #: The bounded sample that a language's dictionary is fitted on: so many whole documents, so many bytes in all.
 SAMPLE_DOCS = 64
@@ -109,4 +109,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], counts: dict[str,
     at = rest.index(text_col)
     row = docs.select(F.struct(*rest).alias("row"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     schema = row.select("row").schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return row.mapInArrow(predict, schema).select("row.*", "lang_pred", "score", "rejected")
+    return row.mapInArrow(tidy(predict), schema).select("row.*", "lang_pred", "score", "rejected")

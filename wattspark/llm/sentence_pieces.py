@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattspark.llm.common import kept_by_worker, most_frequent, written
+from wattspark.llm.common import kept_by_worker, most_frequent, released_by_worker, tidy, written
 
 MARK = "▁"
 #: Words encoded by the relational lattice and sent to all tasks: a list of fixed size.
@@ -152,6 +152,7 @@ def word_counts(texts: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, n) over a one-column table of texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released_by_worker()
         held: dict[str, int] = {}
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -163,7 +164,7 @@ def word_counts(texts: DataFrame, pieces: Pieces) -> DataFrame:
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
-    return texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidy(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -251,7 +252,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, ids array<int>").select(F.col("id").alias(id_col), "ids")
+    return rows.mapInArrow(tidy(run), f"id {kind}, ids array<int>").select(F.col("id").alias(id_col), "ids")
 
 
 def decoded(ids: Column, model: str) -> Column:
