@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattspark.llm.common import documents, written
+from wattspark.llm.common import documents, small_batches, written
 from wattspark.llm.exact_dedup import keep_unique
 from wattspark.llm.jaccard_join import one_of_each
 from wattspark.llm.language_id import fit_dictionaries, identify
@@ -23,6 +23,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose language is rejected: without a letter, or as near to two languages."""
+    small_batches(spark)
     dictionaries, counts = fit_dictionaries(docs)
     return identify(docs, dictionaries, counts).filter(~F.col("rejected")).select(*docs.columns)
 
@@ -34,6 +35,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by five-word shingles, three quarters in common."""
+    small_batches(spark)
     return one_of_each(docs)
 
 
@@ -44,6 +46,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The piece ids of each document of the mixture."""
+    small_batches(spark)
     found = encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
