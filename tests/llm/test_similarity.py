@@ -188,3 +188,25 @@ def test_one_of_each_of_rows_that_share_an_id(spark):
     got = sorted(((r.doc_id, r.text) for r in one_of_each(docs).collect()), key=str)
     assert got == sorted([(1, a), (0, b), (None, a), (4, ""), (5, None)], key=str)
     assert one_of_each(docs).columns == docs.columns and one_of_each(docs.limit(0)).count() == 0
+
+
+def test_order_counts_shingles_and_not_what_else_is_in_their_slots(spark):
+    import pyarrow as pa
+
+    from wattspark.llm.jaccard_join import ORDER_SLOTS, _order_table, _outlines
+    from wattspark.llm.shingles import sets_of
+
+    r = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    found = [" ".join(str(r.getrandbits(40)) for _ in range(4000)) + (" " + passage if i % 2 else "") for i in range(60)]
+    found += found[:3] + [None, ""]
+    rows = spark.createDataFrame([(i, 0, t) for i, t in enumerate(found)], "id long, mark long, text string").repartition(3)
+    table = _order_table(_outlines(rows))
+    every, times = np.unique(np.concatenate(list(sets_of(pa.array(found[:60])))), return_counts=True)
+    slots = (every & np.uint64(ORDER_SLOTS - 1)).astype(int)
+    rare = np.setdiff1d(slots[times == 1], slots[times > 1])
+    # of the copies' own shingles some tasks see two; no slot of other rare shingles is classed, however many share it
+    copies = np.unique(np.concatenate(list(sets_of(pa.array(found[:3])))) & np.uint64(ORDER_SLOTS - 1)).astype(int)
+    assert len(np.unique(slots[times == 1])) < (times == 1).sum() and not table[np.setdiff1d(rare, copies)].any()
+    common = slots[times == 30]
+    assert len(common) == 56 and (table[common] >= np.round(4 * np.log2(31))).all()

@@ -36,11 +36,13 @@ from wattspark.llm.shingles import mixed, sets_of, signature
 
 #: A link: share of the common shingles in all shingles of the two, as a fraction.
 LINK = (75, 100)
-#: Counters of the shingle order: a table of fixed size, whatever the corpus (1 byte a counter from each task and in the broadcast).
-ORDER_SLOTS = 1 << 21
+#: Slots of the shingle order: a table of fixed size, whatever the corpus (1 byte a slot in the broadcast), in chunks of _CHUNK.
+#: Only shingles of several documents enter it, the most frequent first, up to a share of its slots.
+ORDER_SLOTS = 1 << 23
+MOST_TAKEN = ORDER_SLOTS // 4
 #: Rows of four numbers that are broadcast at most.
 MOST_BROADCAST = 1 << 18
-_CHUNK = 1 << 16
+_CHUNK = 1 << 13
 #: Shingles a group of the count vectors holds on average.
 GROUP_LOAD = 8
 LEAF = 32
@@ -139,14 +141,48 @@ def spanning_links(points: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]
     return out
 
 
+#: Shingles that a task gathers before it combines their counts.
+_COUNTED = 1 << 21
+#: Bits of a shingle, besides those of its chunk, by which its documents are counted.
+_CELL_BITS = 24
+
+
+def _counted(held: list[np.ndarray]) -> tuple[np.ndarray, list[bytes]]:
+    """Chunks of the shingle order, and for each the documents of its shingles: steps between cells, and counts, a byte plane each."""
+    own = np.concatenate(held)
+    slot = own & np.uint64(ORDER_SLOTS - 1)
+    inner = (own >> np.uint64(40)) % np.uint64((1 << _CELL_BITS) // _CHUNK) * np.uint64(_CHUNK) + slot % np.uint64(_CHUNK)
+    cells, times = np.unique(((slot // np.uint64(_CHUNK)) << np.uint64(_CELL_BITS)) | inner, return_counts=True)
+    chunks, cells = (cells >> np.uint64(_CELL_BITS)).astype(np.int32), (cells & np.uint64((1 << _CELL_BITS) - 1)).astype(np.uint32)
+    begins = np.nonzero(np.concatenate(([True], chunks[1:] != chunks[:-1])))[0]
+    steps = np.diff(cells, prepend=np.uint32(0))
+    steps[begins] = cells[begins]
+    planes = np.concatenate([steps.view(np.uint8).reshape(-1, 4)[:, :3], np.minimum(times, 0xFF).astype(np.uint8)[:, None]], axis=1)
+    return chunks[begins], [planes[i:j].T.tobytes() for i, j in zip(begins, [*begins[1:], len(chunks)])]
+
+
+def _cells(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(packed, np.uint8).reshape(4, -1)
+    steps = np.zeros((planes.shape[1], 4), np.uint8)
+    steps[:, :3] = planes[:3].T
+    return np.cumsum(steps.view(np.uint32).ravel(), dtype=np.uint32), planes[3]
+
+
 def _outlines(rows: DataFrame) -> DataFrame:
-    """(id, mark, n, sig, point) for each document, a byte a group, and the counters of the shingle order as rows (chunk, counts)."""
+    """(id, mark, n, sig, point) for each document, a byte a group, and the counts of all shingles as rows (chunk, counts)."""
     names = ["id", "mark", "n", "sig", "point", "chunk", "counts"]
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         released_by_worker()
-        counts = np.zeros(ORDER_SLOTS, np.uint32)
-        seen = False
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
+
+        def counts() -> pa.RecordBatch:
+            chunks, packed = _counted(held)
+            m = len(chunks)
+            return pa.RecordBatch.from_arrays([*[pa.nulls(m, pa.int64())] * 4, pa.nulls(m, pa.binary()), pa.array(chunks), pa.array(packed, pa.binary())], names)
+
         for batch in batches:
             n, sig, point = [], [], []
             for s in sets_of(batch.column(1)):
@@ -154,36 +190,63 @@ def _outlines(rows: DataFrame) -> DataFrame:
                 at = count_vector(s, groups_for(len(s)))
                 point.append((at if at.max() < 256 else np.full(len(at), 255)).astype(np.uint8).tobytes())  # all full: pruned by size alone
                 sig.append(signature(s) if len(s) else None)
-                slots = (s & np.uint64(ORDER_SLOTS - 1)).astype(np.int64)
-                counts[slots] += 1  # a document counts once for a slot
-            seen = True
+                if not len(s) or sig[-1] in seen:  # copies in one task count once
+                    continue
+                if len(seen) < 1 << 20:
+                    seen.add(sig[-1])
+                held.append(s)
+                size += len(s)
+                if size > _COUNTED:
+                    yield counts()
+                    held, size = [], 0
             m = len(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(point, pa.binary()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
-        if seen:
-            parts = ORDER_SLOTS // _CHUNK
-            small = np.minimum(counts, 0xFF).astype(np.uint8).reshape(parts, _CHUNK)  # rare and common stay apart
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(parts, pa.int64())] * 4, pa.nulls(parts, pa.binary()), pa.array(range(parts), pa.int32()), pa.array([c.tobytes() for c in small], pa.binary())], names)
+        if held:
+            yield counts()
 
     return rows.select("id", "text", "mark").mapInArrow(tidy(outline), "id long, mark long, n long, sig long, point binary, chunk int, counts binary")
 
 
 def _order_table(counted: DataFrame) -> np.ndarray:
-    """The order's classes by slot, the logarithm of the slot's count in quarters of a power of two: ORDER_SLOTS bytes."""
+    """The order's classes by slot: the logarithm of a shingle's documents in quarters of a power of two, of shingles in one slot
+    the greatest; 0 for shingles of one document and for the rarest of the others, so that the classed take MOST_TAKEN slots at most.
+
+    The documents of a shingle are counted by itself and not by its slot, where at some GB all the rare shingles of a
+    slot together would hide what is frequent.
+    """
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        now = None
+
+        def done() -> pa.RecordBatch:
+            cells, times = (np.concatenate(x) for x in zip(*map(_cells, held)))
+            order = np.argsort(cells, kind="stable")
+            cells = cells[order]
+            begins = np.nonzero(np.concatenate(([True], cells[1:] != cells[:-1])))[0]
+            total = np.add.reduceat(times[order].astype(np.int64), begins)
+            shared = total > 1
+            classes = np.zeros(_CHUNK, np.uint8)
+            np.maximum.at(classes, (cells[begins][shared] % _CHUNK).astype(np.int64), np.round(4 * np.log2(1 + total[shared])).clip(0, 255).astype(np.uint8))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([classes.tobytes()], pa.binary())], ["chunk", "classes"])
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = np.frombuffer(counts.as_buffer(), np.uint8)
-                totals[chunk] = totals[chunk] + got if chunk in totals else got.astype(np.int64)
-        if totals:
-            classes = [np.round(4 * np.log2(1 + t)).clip(0, 255).astype(np.uint8).tobytes() for t in totals.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(classes, pa.binary())], ["chunk", "classes"])
-
-    parts = counted.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(tidy(summed), "chunk int, classes binary").collect()
+            for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if chunk != now and held:
+                    yield done()
+                    held = []
+                now = chunk
+                held.append(counts)
+        if held:
+            yield done()
+
+    dealt = counted.filter("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").sortWithinPartitions("chunk")
     table = np.zeros(ORDER_SLOTS, np.uint8)
-    for r in parts:
+    for r in dealt.mapInArrow(tidy(classed), "chunk int, classes binary").collect():
         table[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] = np.frombuffer(bytes(r["classes"]), np.uint8)
+    upwards = np.cumsum(np.bincount(table, minlength=256)[::-1])[::-1]  # slots of a class and above
+    least = 1 + int(np.argmax(np.append(upwards[1:], 0) <= MOST_TAKEN))
+    table[table < least] = 0
     return table
 
 
