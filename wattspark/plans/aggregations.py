@@ -197,7 +197,7 @@ def win05(spark, d):
 
 @register("win06_earlier_quantile", oracle("workouts", "SELECT id, round(quantile_cont(avg_power, 0.95) OVER w, 4) AS earlier, count(avg_power) OVER w AS earlier_n FROM workouts WINDOW w AS (PARTITION BY uid ORDER BY start_time RANGE BETWEEN INTERVAL 365 DAYS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)"))
 def win06(spark, d):
-    out = windows.earlier_quantile(analog.workouts(spark, d), "avg_power")
+    out = windows.earlier_quantile(analog.workouts(spark, d).select("id", "uid", "start_time", "avg_power"), "avg_power")
     return out.select("id", F.round("earlier", 4).alias("earlier"), "earlier_n")
 
 
