@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from wattspark import registry
 from wattspark.operators import joins
 
@@ -24,6 +26,13 @@ def test_group_pairs_are_made_once(spark):
     assert not got._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
 
 
+def test_group_pairs_are_made_by_many_tasks(spark):
+    # small sides of few sets, as all pairs of a table come from little input
+    left, right = spark.range(400).selectExpr("id AS w", "id % 2 AS group_id"), spark.range(300).selectExpr("id AS u", "id % 2 AS group_id")
+    tasks = [n for _, n in joins.shared_group_pairs(left, right, "w", "u").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 2 * 200 * 150 and len(tasks) > 16 and max(tasks) < sum(tasks) / 6
+
+
 def test_a_segment_is_matched_once(spark):
     got = plan(registry.queries()["krn18_segment_matches"](spark, SF))
     kernel = next(x for x in got.split("\n") if "MapInPandas" in x)
